@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redactlake.llm import exact_dedup
+from redactlake.llm import exact_dedup, language, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op9_simhash": simhash.op9_simhash,
+    "op10_language_id": language.op10_language_id,
 }
 
 ORACLES: dict[str, str] = {
