@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redactlake.llm import exact_dedup, language, simhash
+from redactlake.llm import exact_dedup, language, mixing, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op7_mixing": mixing.op7_mixing,
+    "op8_packing": packing.op8_packing,
     "op9_simhash": simhash.op9_simhash,
     "op10_language_id": language.op10_language_id,
 }
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op7_mixing": mixing.SQL,
 }
