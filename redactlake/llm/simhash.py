@@ -14,7 +14,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from redactlake.llm import common
@@ -75,23 +75,22 @@ def link(prints: DataFrame) -> DataFrame:
     """(fp, id, component) for each distinct fp in prints(fp, id), id being its smallest one.
 
     A group that shares a variant may be large (a ball of near copies), so pairs are not expanded: first
-    each member is linked to the group's smallest fingerprint, which makes as many rows as the group has;
-    then, with the components of these links known, only members of different components are compared.
-    Links inside a component can't change the result, so none is lost.
+    each member is held against the group's smallest fingerprint only; then, with the components of these
+    links known, members of different components are joined, and the join keeps verified pairs alone.
+    Links inside a component can't change the result, so none is lost. Groups are of distinct
+    fingerprints; copies of one, however many, are a single member.
     """
     nodes = common.save(prints.groupBy("fp").agg(F.min("id").alias("id")), "prints")
-    # the row of a group's smallest fingerprint: its key also orders the hub of each group
-    keyed = nodes.select("fp", "id", F.explode(_variants(F.col("fp"))).alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("id", "fp")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", F.col("hub.fp").alias("hub_fp"), F.col("hub.id").alias("hub_id"), "n")
-    hubs = common.save(hubs, "hubs")
-    shared = keyed.join(hubs, "key")
-    shared = common.save(shared.select("key", "fp", "id", "hub_fp", "hub_id", (F.col("n") > 2).alias("more")), "shared")
-    stars = shared.where((F.col("id") != F.col("hub_id")) & _near("fp", "hub_fp")).select(F.col("id").alias("a"), F.col("hub_id").alias("b")).distinct()
-    stars = common.save(stars, "stars")
-    first = common.components(stars)
-    rest = shared.where("more").select("key", "fp", "id").join(first, "id", "left").select("key", "fp", "id", F.coalesce("component", "id").alias("c"))
-    rest = rest.join(rest.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key"), "key", "left_semi")
-    rest = common.save(rest, "rest")
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes 64: a few small files are too few tasks
+    nodes = nodes.repartition(parts, "fp")
+    group = Window.partitionBy("key")
+    stars = nodes.select("fp", "id", F.explode(_variants(F.col("fp"))).alias("key")).withColumn("hub", F.min(F.struct("id", "fp")).over(group))
+    stars = stars.withColumn("hub_fp", F.col("hub.fp")).where((F.col("id") != F.col("hub.id")) & _near("fp", "hub_fp"))
+    stars = common.save(stars.select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct(), "stars")
+    named = nodes.join(common.components(stars), "id", "left").select("fp", "id", F.coalesce("component", "id").alias("c"))
+    rest = named.select("fp", "id", "c", F.explode(_variants(F.col("fp"))).alias("key"))
+    rest = rest.withColumn("low", F.min("c").over(group)).withColumn("high", F.max("c").over(group)).withColumn("n", F.count("*").over(group))
+    rest = common.save(rest.where("n > 2 and low < high").select("key", "fp", "id", "c"), "rest")  # of two members the star has seen both
     left, right = (rest.select("key", *(F.col(x).alias(f"{x}_{side}") for x in ("fp", "id", "c"))) for side in "ab")
     across = left.join(right, (left["key"] == right["key"]) & (F.col("c_a") < F.col("c_b")) & _near("fp_a", "fp_b"))
     links = stars.unionAll(across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).distinct()
