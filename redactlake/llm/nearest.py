@@ -19,9 +19,10 @@ from redactlake.llm import common
 LINES = 96
 THRESHOLD = 0.65
 #: Half the first window, in units of the largest norm, and its growth from level to level.
-FIRST_WINDOW, GROWTH = 0.4, 1.12
+FIRST_WINDOW, GROWTH = 0.5, 1.1
 #: Windows expand until this share of a block, besides the wanted neighbours, has been verified.
 VERIFIED = 0.12
+#: At most 65,535, so that places take two bytes.
 BLOCK_ROWS = 8192
 QUERY_ROWS = 2048
 SEED = 7
@@ -42,35 +43,42 @@ def search_block(vectors: np.ndarray, queries: np.ndarray, largest: float, k: in
     scaled = vectors / largest
     rest = np.sqrt(np.maximum(0, 1 - (scaled**2).sum(axis=1, keepdims=True)))
     directions = lines(vectors.shape[1] + 1)
-    projected = np.hstack([scaled, rest]) @ directions
-    order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32)
-    values = np.take_along_axis(projected.T, order, axis=1)
+    projected = np.ascontiguousarray((np.hstack([scaled, rest]) @ directions).T)
+    order = np.argsort(projected, axis=1)
+    values = np.take_along_axis(projected, order, axis=1)  # each line's sorted array
+    places = np.empty((LINES, n), np.uint16)  # each vector's place in it
+    np.put_along_axis(places, order, np.arange(n, dtype=np.uint16)[None, :], axis=1)
     centres = np.hstack([queries / np.sqrt((queries**2).sum(axis=1, keepdims=True)), np.zeros((len(queries), 1))]) @ directions
     needed = int(np.ceil(THRESHOLD * LINES))
     wanted = min(n, k + 1 + int(np.ceil(VERIFIED * n)))
-    middle = np.stack([np.searchsorted(values[i], centres[:, i]) for i in range(LINES)], axis=1)
-    lows, highs = middle.copy(), middle.copy()
-    counts = np.zeros((len(queries), n), np.uint8)
     found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
-    active = np.arange(len(queries))
-    half = FIRST_WINDOW
-    while len(active):
-        new_low = np.stack([np.searchsorted(values[i], centres[active, i] - half) for i in range(LINES)], axis=1)
-        new_high = np.stack([np.searchsorted(values[i], centres[active, i] + half, side="right") for i in range(LINES)], axis=1)
-        still = []
-        for at, q in enumerate(active):
-            rings = [order[i, a:b] for i, (a, b) in enumerate(zip(new_low[at].tolist(), lows[q].tolist(), strict=True)) if a < b]
-            rings += [order[i, a:b] for i, (a, b) in enumerate(zip(highs[q].tolist(), new_high[at].tolist(), strict=True)) if a < b]
-            if rings:
-                counts[q] += np.bincount(np.concatenate(rings), minlength=n).astype(np.uint8)
-            hit = np.flatnonzero(counts[q] >= needed)
-            if len(hit) >= wanted or half > 1e3:
-                found[q] = hit
-            else:
-                still.append(q)
-        lows[active], highs[active] = new_low, new_high
-        active = np.array(still, np.int64)
-        half *= GROWTH
+    shifted, inside = np.empty((LINES, n), np.uint16), np.empty((LINES, n), bool)
+    few = slice(0, max(1, n // 16))
+
+    windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def collisions(q: int, level: int, part: slice) -> np.ndarray:
+        """On how many lines each vector is in the query's window: its place, less the window's first one, is under the width."""
+        if level not in windows:
+            half = FIRST_WINDOW * GROWTH**level
+            low, high = (np.stack([np.searchsorted(values[i], centres[:, i] + way * half, side=side) for i in range(LINES)], axis=1) for way, side in ((-1, "left"), (1, "right")))
+            windows[level] = low.astype(np.uint16)[:, :, None], (high - low).astype(np.uint16)[:, :, None]
+        low, width = windows[level]
+        np.subtract(places[:, part], low[q], out=shifted[:, part])  # places before it wrap around
+        np.less(shifted[:, part], width[q], out=inside[:, part])
+        return inside[:, part].view(np.uint8).sum(axis=0, dtype=np.uint8)
+
+    last = int(np.ceil(np.log(1e3) / np.log(GROWTH)))  # a window that holds every projection
+    for q in range(len(queries)):
+        level = 0
+        # a sixteenth of the vectors, which lie in random order, tells at which level to look at all of them
+        while level < last and (collisions(q, level, few) >= needed).mean() < 0.9 * wanted / n:
+            level += 1
+        hit = np.flatnonzero(collisions(q, level, slice(0, n)) >= needed)
+        while len(hit) < wanted and level < last:
+            level += 1
+            hit = np.flatnonzero(collisions(q, level, slice(0, n)) >= needed)
+        found[q] = hit
     return found
 
 
@@ -86,6 +94,9 @@ def _search(k: int, largest: float):
             for query_row, query_id, query, hit in zip(asked.column("row").to_pylist(), asked.column("id").to_pylist(), queries, search_block(vectors, queries, largest, k), strict=True):
                 hit = hit[rows[hit] != query_row]
                 scores = (vectors[hit] * query).sum(axis=1)
+                if len(hit) > k:  # with all that tie with the last
+                    top = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                    hit, scores = hit[top], scores[top]
                 best = np.lexsort((rows[hit], ids[hit], -scores))[:k]
                 out["query_row"].append(np.full(len(best), query_row))
                 out["query_id"].append(np.full(len(best), query_id))
