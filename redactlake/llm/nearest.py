@@ -20,8 +20,8 @@ LINES = 96
 THRESHOLD = 0.65
 #: Half the first window, in units of the largest norm, and its growth from level to level.
 FIRST_WINDOW, GROWTH = 0.5, 1.1
-#: Windows expand until this share of a block, besides the wanted neighbours, has been verified.
-VERIFIED = 0.12
+#: Windows expand until so many vectors for each wanted neighbour, and this share of a block, are to be verified.
+PER_NEIGHBOUR, VERIFIED = 10, 0.1
 #: At most 65,535, so that places take two bytes.
 BLOCK_ROWS = 8192
 QUERY_ROWS = 2048
@@ -50,7 +50,7 @@ def search_block(vectors: np.ndarray, queries: np.ndarray, largest: float, k: in
     np.put_along_axis(places, order, np.arange(n, dtype=np.uint16)[None, :], axis=1)
     centres = np.hstack([queries / np.sqrt((queries**2).sum(axis=1, keepdims=True)), np.zeros((len(queries), 1))]) @ directions
     needed = int(np.ceil(THRESHOLD * LINES))
-    wanted = min(n, k + 1 + int(np.ceil(VERIFIED * n)))
+    wanted = min(n, PER_NEIGHBOUR * k + 1 + int(np.ceil(VERIFIED * n)))
     found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
     shifted, inside = np.empty((LINES, n), np.uint16), np.empty((LINES, n), bool)
     few = slice(0, max(1, n // 16))
