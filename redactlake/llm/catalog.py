@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redactlake.llm import chat, exact_dedup, language, lattice, mixing, nearest, packing, simhash
+from redactlake.llm import chat, exact_dedup, language, lattice, mixing, nearest, packing, passages, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_nearest": nearest.op3_nearest,
+    "op4_passages": passages.op4_passages,
     "op5_lattice_score": lattice.op5_lattice_score,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_mixing": mixing.op7_mixing,
     "op8_packing": packing.op8_packing,
     "op9_simhash": simhash.op9_simhash,
