@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from redactlake.plans import extensions, layout, structure, texts, time_based  # noqa: F401  (they register themselves)
+from redactlake.plans import media as media_plans  # noqa: F401
+from redactlake.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
