@@ -129,3 +129,12 @@ def preset_options(preset: Column, source: Column) -> Column:
         made = F.struct((F.lit(form) if form else source).alias("format"), F.lit(quality).alias("quality"), F.lit(effort).alias("effort"), F.lit(side).cast("int").alias("max_dim"))
         out = F.when(preset == name, made) if out is None else out.when(preset == name, made)
     return out
+
+
+#: The longest sides that may be asked for.
+CAPS = (1024, 1600, 2048, 3200)
+
+
+def options_ok(quality: Column, effort: Column, cap: Column) -> tuple[Column, Column, Column]:
+    """Whether each of the options is one that can be asked for; no cap is one."""
+    return quality.between(1, 100), effort.between(0, 6), cap.isNull() | F.coalesce(cap.isin(*CAPS), F.lit(False))

@@ -89,3 +89,27 @@ def encode_png(rgb: np.ndarray, level: int = 6) -> bytes:
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
     head = struct.pack(">IIBBBBB", width, height, 8, 6 if channels == 4 else 2, 0, 0, 0)
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw, level)) + chunk(b"IEND", b"")
+
+
+def keyboard_boxes(keys: DataFrame) -> DataFrame:
+    """(doc, x, y, w, h): where keys(doc, seq, key, shift) have taken a box: arrows move it, with shift they size it.
+
+    The box starts in the middle of the page, moves and grows by fixed steps, and stays on the page.
+    """
+    x, y, w, h = G.KEY_BOX
+    start = F.struct(*(F.lit(v).alias(n) for n, v in zip("xywh", (x, y, w, h), strict=True)))
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "key", "shift")))
+    step, least, one, zero = F.lit(G.KEY_STEP), F.lit(G.KEY_LEAST), F.lit(1.0), F.lit(0.0)
+
+    def axis(box, key, place, side, back, forth):
+        is_back, is_forth = key["key"] == back, key["key"] == forth
+        moved = F.when(is_back, F.greatest(zero, box[place] - step)).when(is_forth, F.least(one - box[side], box[place] + step)).otherwise(box[place])
+        sized = F.when(is_back, F.greatest(least, box[side] - step)).when(is_forth, F.least(one - box[place], box[side] + step)).otherwise(box[side])
+        return F.when(key["shift"], box[place]).otherwise(moved), F.when(key["shift"], sized).otherwise(box[side])
+
+    def press(box, key):
+        nx, nw = axis(box, key, "x", "w", "left", "right")
+        ny, nh = axis(box, key, "y", "h", "up", "down")
+        return F.struct(nx.alias("x"), ny.alias("y"), nw.alias("w"), nh.alias("h"))
+
+    return keys.groupBy("doc").agg(F.aggregate(ordered, start, press).alias("b")).select("doc", "b.*")

@@ -55,3 +55,22 @@ def test_entry_gives_rows(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_keyboard_boxes_equal_a_plain_fold(spark, data):
+    presses = {}
+    for r in spark.read.parquet(f"{data}/lineitem.parquet").orderBy("l_orderkey", "l_linenumber", "l_partkey").collect():
+        presses.setdefault(r.l_suppkey, []).append((("left", "right", "up", "down")[r.l_partkey % 4], r.l_quantity > 25))
+    want = {}
+    for doc, keys in presses.items():
+        place, side = {"x": 0.4, "y": 0.45}, {"x": 0.2, "y": 0.1}
+        for key, shift in keys:
+            axis = "x" if key in ("left", "right") else "y"
+            back = key in ("left", "up")
+            if shift:
+                side[axis] = max(0.01, side[axis] - 0.02) if back else min(1 - place[axis], side[axis] + 0.02)
+            else:
+                place[axis] = max(0, place[axis] - 0.02) if back else min(1 - side[axis], place[axis] + 0.02)
+        want[doc] = (place["x"], place["y"], side["x"], side["y"])
+    got = {r.doc: (r.x, r.y, r.w, r.h) for r in catalog.QUERIES["q_keyboard_boxes"](spark, data).collect()}
+    assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d]) for d in want)
