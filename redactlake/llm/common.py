@@ -42,7 +42,8 @@ def save(df: DataFrame, name: str, partitions: list[str] | None = None) -> DataF
     """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor costs only its running tasks."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path, partitionBy=partitions)
+    df.write.parquet(path, partitionBy=partitions, compression="zstd")
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files that nothing needs any more
     return spark.read.schema(df.schema).parquet(path) if not partitions else spark.read.parquet(path)
 
 

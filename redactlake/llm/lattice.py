@@ -9,7 +9,8 @@ the product over its words and one end, summed over the components of the model
 the training texts, such as their language), weighted by their shares; labels aren't read for scoring.
 
 Texts are read once. A task counts words into a dictionary of its own, a block, and stores each text as
-places in it; then only dictionaries, not tokens, are joined with the counts and scores of the corpus.
+places in it; then only dictionaries, not tokens, are shuffled: once by word, for the counts of the corpus,
+and once by block, with each word's scores, to meet the block's texts.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from redactlake.llm import common
@@ -31,10 +33,10 @@ BOUNDARY = "▁"
 ROUNDS = 2
 #: What the scores of the vocabulary weigh against the training texts, in pieces.
 PRIOR_PIECES = 10_000.0
-#: A block ends with so many distinct words, or stored bytes.
-BLOCK_WORDS, BLOCK_BYTES = 150_000, 8_000_000
-#: Longer words are scored one by one, so that a batch of equal lengths stays small.
-BATCH_CELLS = 400_000
+#: A block ends with so many bytes of text.
+BLOCK_BYTES = 12_000_000
+#: Words that a task scores at once, and the code points that it holds of those of one length.
+BATCH_WORDS, BATCH_CELLS = 50_000, 400_000
 #: Taken off each word's count; what it frees is the weight of the lattice.
 DISCOUNT = 0.6
 #: The most frequent labels of the training texts have a component each, the others one together.
@@ -166,6 +168,20 @@ class Lattice:
         return out
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], times: int = 1) -> Iterator[pa.RecordBatch]:
+    """Larger batches: the work on words of one length is then on arrays that are worth a call."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= BATCH_WORDS * times:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _batches(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, code points) of words of equal length, each with the boundary mark before it."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -186,50 +202,69 @@ def _blocks(components: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        number, size = 0, 0
-        place: dict[bytes, int] = {}
-        trained: list[tuple[int, np.ndarray, np.ndarray]] = []
-        texts: list[tuple[int | None, bool, bytes]] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal number, size
-            w, t = len(place), len(texts)
-            counts = np.zeros((components, w + t), np.int64)
-            for k, ids, n in trained:
-                counts[k, ids] += n
-            counts[0, w:] = [x[1] for x in texts]
-            made = [np.full(w + t, (task << 24) + number), np.r_[np.zeros(w, np.int32), np.ones(t, np.int32)]]
-            columns = [*map(pa.array, made), pa.array([*range(w), *(x[0] for x in texts)], pa.int64()), pa.array([*place, *(x[2] for x in texts)], pa.binary()), *map(pa.array, counts)]
-            yield pa.record_batch(columns, ["block", "kind", "id", "payload", *(f"n{k}" for k in range(components))])
-            number, size = number + 1, 0
-            place.clear()
-            trained.clear()
-            texts.clear()
-
+        held: list[pa.RecordBatch] = []
+        number = size = 0
         for batch in common.slices(batches):
-            for key, use, text in zip(*(batch.column(c).to_pylist() for c in ("id", "use", "text")), strict=True):
-                words = text.lower().split()  # bytes: both know ASCII only
-                for w in words:
-                    if w not in place:
-                        place[w] = len(place)
-                ids, n = np.unique(np.fromiter(map(place.__getitem__, words), np.int64, len(words)), return_counts=True)
-                if use >= 0:
-                    trained.append((use, ids, n))
-                packed = np.stack([ids, n]).astype("<u4").tobytes()
-                texts.append((key, use == HELD_OUT, packed))
-                size += len(packed)
-                if len(place) >= BLOCK_WORDS or size >= BLOCK_BYTES:
-                    yield from flush()
-        if texts:
-            yield from flush()
+            held.append(batch)
+            size += batch.column("text").nbytes
+            if size >= BLOCK_BYTES:
+                yield _block((task << 24) + number, pa.Table.from_batches(held), components)
+                held, size, number = [], 0, number + 1
+        if held:
+            yield _block((task << 24) + number, pa.Table.from_batches(held), components)
 
     return run
 
 
+def pack_counts(ids: np.ndarray, times: np.ndarray) -> bytes:
+    """Ascending ids as steps, and how often each occurs, in as few bytes each as hold the largest."""
+    steps = np.diff(ids, prepend=0)
+    wide, tall = (4 if steps.max(initial=0) > 0xFFFF else 2), (4 if times.max(initial=0) > 0xFF else 1)
+    return bytes([wide, tall]) + steps.astype(f"<u{wide}").tobytes() + times.astype(f"<u{tall}").tobytes()
+
+
+def unpack_counts(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    wide, tall = packed[0], packed[1]
+    n = (len(packed) - 2) // (wide + tall)
+    return np.cumsum(np.frombuffer(packed, f"<u{wide}", n, 2).astype(np.int64)), np.frombuffer(packed, f"<u{tall}", n, 2 + n * wide).astype(np.int64)
+
+
+def _block(block: int, rows: pa.Table, components: int) -> pa.RecordBatch:
+    use = rows.column("use").to_numpy()
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(rows.column("text").combine_chunks()))
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    encoded = lists.flatten().dictionary_encode()
+    words, codes = encoded.dictionary, encoded.indices.to_numpy()
+    text = np.repeat(np.arange(len(use)), pc.list_value_length(lists).to_numpy())
+    blank = pc.index(words, "").as_py()  # around a text's ends
+    if blank >= 0:
+        real = codes != blank
+        text, codes = text[real], codes[real]
+    size, texts = len(words), len(use)
+    counts = np.zeros((components, size + texts), np.int64)
+    for k in range(components):
+        counts[k, :size] = np.bincount(codes[(use == k)[text]], minlength=size)
+    counts[0, size:] = use == HELD_OUT
+    pairs, times = np.unique(text * size + codes, return_counts=True)  # by text, then word
+    ids = pairs % max(1, size)
+    ends = np.searchsorted(pairs, np.arange(1, texts + 1) * size)
+    stored = [pack_counts(ids[a:b], times[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    kept = np.r_[np.arange(size) != blank, np.ones(texts, bool)]
+    columns = [
+        pa.array(np.full(size + texts, block)),
+        pa.array(np.r_[np.zeros(size, np.int32), np.ones(texts, np.int32)]),
+        pa.concat_arrays([pa.array(np.arange(size)), rows.column("id").combine_chunks()]),
+        pa.concat_arrays([words.cast(pa.binary()), pa.array(stored, pa.binary())]),
+        *map(pa.array, counts),
+    ]
+    return pa.record_batch(columns, ["block", "kind", "id", "payload", *(f"n{k}" for k in range(components))]).filter(pa.array(kept))
+
+
 @dataclass
 class Corpus:
     blocks: DataFrame
-    words: DataFrame  # word binary, n0, n1, ...: counts by component
+    words: DataFrame  # word, owner (block), place, first (one row of each word), n0, n1, ...: its counts by component in the corpus
     tokens: np.ndarray  # by component, ends included
     distinct: np.ndarray  # by component, ends not included
     ends: np.ndarray
@@ -246,18 +281,22 @@ def count_words(docs: DataFrame, training, held_out, id_column: str, text_column
     trains = F.coalesce(training, F.lit(False))
     label = F.col(component_column).cast("string") if component_column else F.lit(None).cast("string")
     sizes = docs.where(trains).groupBy(label.alias("label")).count().orderBy(F.desc("count"), F.asc_nulls_last("label")).limit(COMPONENTS + 1).collect()
-    named = [r["label"] for r in sizes if r["label"] is not None][: COMPONENTS - 1]  # the others share the last component
-    k = len(named) + 1
+    named = [r["label"] for r in sizes if r["label"] is not None][: COMPONENTS - 1]
+    k = len(named) + (len(named) < max(1, len(sizes)))  # the others, if any, share the last component
     which = F.coalesce(F.array_position(F.array(*map(F.lit, named)).cast("array<string>"), label) - 1, F.lit(-1)).cast("int")
     use = F.when(F.coalesce(held_out, F.lit(False)), HELD_OUT).when(trains, F.when(which < 0, k - 1).otherwise(which)).otherwise(UNUSED)
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), use.alias("use"), common.text_of(text_column).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), use.alias("use"), common.text_of(text_column).alias("text"))
     columns = [f"n{i}" for i in range(k)]
     blocks = common.save(rows.mapInArrow(_blocks(k), "block bigint, kind int, id bigint, payload binary" + "".join(f", {c} bigint" for c in columns)), "blocks")
-    words = common.save(blocks.where("kind = 0").groupBy(F.col("payload").alias("word")).agg(*(F.sum(c).alias(c) for c in columns)), "words")
+    word = Window.partitionBy("payload")
+    totals = [F.sum(c).over(word).alias(c) for c in columns]
+    first = F.row_number().over(word.orderBy("block")) == 1
+    words = blocks.where("kind = 0").select(F.col("payload").alias("word"), F.col("block").alias("owner"), F.col("id").cast("int").alias("place"), first.alias("first"), *totals)
+    words = common.save(words, "words")
     found = {r["use"]: r["count"] for r in rows.groupBy("use").count().collect()}
     ends = np.array([found.get(i, 0) for i in range(k)])
     every = sum((F.col(c) for c in columns), F.lit(0))
-    seen = words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in columns), *(F.count_if(F.col(c) > 0) for c in columns), F.count_if(every > 0)).first()
+    seen = words.where("first").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in columns), *(F.count_if(F.col(c) > 0) for c in columns), F.count_if(every > 0)).first()
     return Corpus(blocks, words, np.array(seen[:k]) + ends, np.array(seen[k : 2 * k]), ends, seen[2 * k] + int(ends.sum() > 0))
 
 
@@ -273,7 +312,7 @@ def fit(corpus: Corpus, vocabulary: str, rounds: int = ROUNDS) -> Lattice:
         def expected(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             total = np.zeros(sent.value.log_p.shape)
             with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-                for batch in batches:
+                for batch in _gathered(batches):
                     words = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
                     for i in range(len(total)):
                         times = batch.column(f"n{i}").to_numpy().astype(np.float64)
@@ -282,7 +321,7 @@ def fit(corpus: Corpus, vocabulary: str, rounds: int = ROUNDS) -> Lattice:
             component, piece = np.nonzero(total)
             yield pa.record_batch([pa.array(component.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[component, piece])], ["component", "piece", "n"])
 
-        learned = corpus.words.where(F.greatest(F.lit(0), *corpus.counts) > 0)
+        learned = corpus.words.where(F.col("first") & (F.greatest(F.lit(0), *corpus.counts) > 0)).select("word", *corpus.counts)
         table = learned.mapInArrow(expected, "component int, piece int, n double").groupBy("component", "piece").agg(F.sum("n").alias("n")).toPandas()  # at most a row for each component and piece
         counts = np.tile(PRIOR_PIECES * prior, (k, 1))
         np.add.at(counts, (table.component.to_numpy(np.int64), table.piece.to_numpy(np.int64)), table.n.to_numpy())
@@ -313,17 +352,16 @@ def score_texts(docs: DataFrame, training, held_out, vocabulary: str | None = No
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, used, free = sent.value
         with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-            for batch in batches:
-                words = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
+            for batch in _gathered(batches, 4):  # rows of a word are neighbours: it is scored once
+                encoded = batch.column("word").dictionary_encode()
+                score = lattice.score([w.decode("utf-8", "replace") for w in encoded.dictionary.to_pylist()])
                 counts = np.stack([batch.column(c).to_numpy() for c in columns], axis=1)
                 own = np.log(np.maximum(counts - DISCOUNT, 0) / used)
-                log_p = np.logaddexp(own, np.log(free) + lattice.score(words))
-                yield pa.record_batch([batch.column("word"), pa.array(counts.sum(axis=1)), *(pa.array(x) for x in log_p.T)], ["word", "c", *(f"p{k}" for k in range(len(columns)))])
+                log_p = np.logaddexp(own, np.log(free) + score[encoded.indices.to_numpy()])
+                yield pa.record_batch([batch.column("owner"), batch.column("place"), pa.array(counts.sum(axis=1)), *(pa.array(x.astype(np.float32)) for x in log_p.T)], ["owner", "place", "c", *(f"p{k}" for k in range(len(columns)))])
 
     parts = [f"p{k}" for k in range(len(columns))]
-    words = corpus.words.mapInArrow(scored, "word binary, c bigint" + "".join(f", {p} double" for p in parts))
-    local = corpus.blocks.where("kind = 0").select(F.col("block").alias("of"), F.col("id").alias("place"), F.col("payload").alias("word"))
-    local = local.join(words.hint("merge"), "word").select("of", "place", "c", *parts)
+    local = corpus.words.select("word", "owner", "place", *columns).mapInArrow(scored, "owner bigint, place int, c bigint" + "".join(f", {p} float" for p in parts))
     texts = corpus.blocks.where("kind = 1").select("block", "id", F.col("payload").alias("counts"), (F.col("n0") == 1).alias("held_out"))
     total = n + 0.5 * (corpus.vocabulary + 1)
 
@@ -336,14 +374,14 @@ def score_texts(docs: DataFrame, training, held_out, vocabulary: str | None = No
         base, end_base = np.log10((c + 0.5) / total), float(np.log10((ends + 0.5) / total))
         out = []
         for packed in stored.column("counts").to_pylist():
-            ids, times = np.frombuffer(packed, "<u4").reshape(2, -1).astype(np.int64)
+            ids, times = unpack_counts(packed)
             score = np.logaddexp.reduce(times @ log_p[ids] + end_p + share)
             out.append((int(times.sum()) + 1, int(times[c[ids] > 0].sum()) + (ends > 0), float(base[ids] @ times + end_base), float(score / np.log(10))))
         tokens, known, bases, scores = zip(*out, strict=True) if out else ((), (), (), ())
         return pa.table({"id": stored.column("id"), "held_out": stored.column("held_out"), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([n] * len(out), pa.int64()), "base_score": pa.array(bases, pa.float64()), "score": pa.array(scores, pa.float64())})
 
     # a text without words may stand in a block without words: cogroup keeps it
-    return local.groupBy("of").cogroup(texts.groupBy("block")).applyInArrow(per_block, "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return local.groupBy("owner").cogroup(texts.groupBy("block")).applyInArrow(per_block, "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op5_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
