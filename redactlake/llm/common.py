@@ -5,10 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The characters that part words, as a class for Java's and DuckDB's regular expressions.
@@ -16,20 +16,22 @@ BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: The same characters, for translate().
 BLANKS = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of a table that may be broadcast: keys of 8 to 24 bytes, so some 20 MB at most.
 BROADCAST_ROWS = 300_000
 
 _scratch: dict[str, SparkSession] = {}
+_local: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder shared by all executors, from spark.checkpoint.dir; a temporary one of this machine only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="scratch-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+        if app not in _local:
+            _local[app] = "file://" + tempfile.mkdtemp(prefix="scratch-")
+        root = _local[app]
+    return f"{root.rstrip('/')}/tables-{app}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -38,13 +40,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def save(df: DataFrame, name: str, partitions: list[str] | None = None) -> DataFrame:
+def save(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor costs only its running tasks."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path, partitionBy=partitions, compression="zstd")
+    df.write.parquet(path, compression=compression)
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files that nothing needs any more
-    return spark.read.schema(df.schema).parquet(path) if not partitions else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @atexit.register
@@ -67,10 +69,6 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
-
-
 def fold_of(id_column: str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; null for a null id."""
     return F.crc32(F.col(id_column).cast("string")) % folds
@@ -116,8 +114,6 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, id_column: str = "doc_id",
     mixed = per_id.where("_k > 0").select("_id")
     allowed = decisions.join(mixed, decisions["id"].eqNullSafe(mixed["_id"]), "left_semi").groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_t")).agg(F.count_if("kept").alias("_k"))
     rows = docs.join(maybe_broadcast(mixed), docs[id_column].eqNullSafe(F.col("_id")), "left_semi")
-    from pyspark.sql import Window
-
     rows = rows.withColumn("_key", text_key(text_column))
     rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(id_column, "_key").orderBy(F.lit(0))))
     rows = rows.join(allowed, rows[id_column].eqNullSafe(allowed["_id"]) & rows["_key"].eqNullSafe(allowed["_t"]) & (F.col("_rank") <= F.col("_k")), "left_semi")
@@ -145,11 +141,3 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if now == seen:
             return edges.select(F.col("b").alias("id"), F.col("a").alias("component")).unionAll(edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
         seen = now
-
-
-def arrow_schema(**fields: pa.DataType) -> pa.Schema:
-    return pa.schema(list(fields.items()))
-
-
-def map_arrow(df: DataFrame, function: Callable, ddl: str) -> DataFrame:
-    return df.mapInArrow(function, ddl)

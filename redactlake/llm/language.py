@@ -45,6 +45,8 @@ SAMPLE_TEXTS = 1500
 #: A script belongs to a language that writes at least this share of its letters in it.
 SCRIPT_SHARE = 0.01
 MAX_LANGUAGES = 2000
+#: Words whose scores a task keeps, besides those of the batch at hand, and words scored at once: bounds of its memory.
+CACHED_WORDS, SCORED_WORDS = 150_000, 10_000
 UNKNOWN = "und"
 _EXCLUDED = -1e4
 _SCRIPTLESS, _OTHER = -1, len(SCRIPTS)
@@ -217,13 +219,13 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
         scores, letters = np.zeros((0, len(m.languages)), np.float32), np.zeros(0, np.int32)
         for batch in common.slices(batches):
             texts = [(x or "").lower().split() if m.languages else [] for x in batch.column("text").to_pylist()]
-            if len(seen) > 400_000:
+            if len(seen) > CACHED_WORDS:
                 seen, scores, letters = {}, scores[:0], letters[:0]
             new = list(dict.fromkeys(w for words in texts for w in words if w not in seen))
             if new:
                 seen.update(zip(new, range(len(seen), len(seen) + len(new)), strict=True))
-                more, count = m.score(new)
-                scores, letters = np.concatenate([scores, more]), np.concatenate([letters, count])
+                parts = [m.score(new[at : at + SCORED_WORDS]) for at in range(0, len(new), SCORED_WORDS)]
+                scores, letters = np.concatenate([scores, *(p[0] for p in parts)]), np.concatenate([letters, *(p[1] for p in parts)])
             langs, sure, spans = [], [], []
             for words in texts:
                 at = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))

@@ -287,12 +287,12 @@ def count_words(docs: DataFrame, training, held_out, id_column: str, text_column
     use = F.when(F.coalesce(held_out, F.lit(False)), HELD_OUT).when(trains, F.when(which < 0, k - 1).otherwise(which)).otherwise(UNUSED)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), use.alias("use"), common.text_of(text_column).alias("text"))
     columns = [f"n{i}" for i in range(k)]
-    blocks = common.save(rows.mapInArrow(_blocks(k), "block bigint, kind int, id bigint, payload binary" + "".join(f", {c} bigint" for c in columns)), "blocks")
+    blocks = common.save(rows.mapInArrow(_blocks(k), "block bigint, kind int, id bigint, payload binary" + "".join(f", {c} bigint" for c in columns)), "blocks", "zstd")
     word = Window.partitionBy("payload")
     totals = [F.sum(c).over(word).alias(c) for c in columns]
     first = F.row_number().over(word.orderBy("block")) == 1
     words = blocks.where("kind = 0").select(F.col("payload").alias("word"), F.col("block").alias("owner"), F.col("id").cast("int").alias("place"), first.alias("first"), *totals)
-    words = common.save(words, "words")
+    words = common.save(words, "words", "zstd")
     found = {r["use"]: r["count"] for r in rows.groupBy("use").count().collect()}
     ends = np.array([found.get(i, 0) for i in range(k)])
     every = sum((F.col(c) for c in columns), F.lit(0))

@@ -50,8 +50,8 @@ class ByteBpe:
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
+        self.path, self.slow = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -60,10 +60,13 @@ class ByteBpe:
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         ranks = {bytes(shown[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.slow = Tokenizer.from_file(path)
 
     def encode(self, text: str) -> list[int]:
         if len(text) > LONG_TEXT:
+            if self.slow is None:
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.path)
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode(text, allowed_special="all")
 
