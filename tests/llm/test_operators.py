@@ -219,6 +219,30 @@ def test_near_passage_with_edits_and_edges(spark):
     assert passages.repeated_passages(docs_of(spark, [])).count() == 0
 
 
+def test_passages_of_repeated_lines_are_found_at_any_offset():
+    rng = np.random.default_rng(5)
+    words = lambda n: rng.integers(1, 2**62, n).tolist()
+    line = words(12)
+    for before, behind in ((200, 15), (15, 200), (40, 47), (0, 0)):
+        a, b = (np.array([*words(n), *line * 10, *words(30)], np.uint64) for n in (before, behind))
+        assert passages.common_passages(a, b) == [(before, before + 120, behind, behind + 120, 1.0)]
+    edited = line * 5
+    edited[30] = 7
+    a, b = np.array([*words(100), *line * 5, *words(40)], np.uint64), np.array([*words(20), *edited, *words(70)], np.uint64)
+    assert [found[:4] for found in passages.common_passages(a, b)] == [(100, 160, 20, 80)]
+    for _ in range(60):  # texts of a few lines, against all longest equal stretches
+        lines = [words(rng.integers(3, 25)) for _ in range(rng.integers(1, 6))]
+        a, b = (np.array([w for _ in range(30) for w in (lines[rng.integers(len(lines))] if rng.random() < 0.85 else words(rng.integers(1, 15)))], np.uint64) for _ in "ab")
+        s, t = passages.shingles(a), passages.shingles(b)
+        equal, want = np.zeros(len(t) + 1, np.int64), set()
+        for i in range(len(s) - 1, -1, -1):
+            equal[:-1] = np.where(t == s[i], equal[1:] + 1, 0)
+            want |= set(range(i, i + equal.max())) if equal.max() >= 46 else set()
+        found = passages.common_passages(a, b)
+        assert want <= {i for a0, a1, *_ in found for i in range(a0, a1 - 4)}
+        assert all(f[4] >= 0.8 and f[1] - f[0] >= 50 and f[3] - f[2] >= 50 for f in found)
+
+
 # 5
 
 
