@@ -219,6 +219,15 @@ def test_near_passage_with_edits_and_edges(spark):
     assert passages.repeated_passages(docs_of(spark, [])).count() == 0
 
 
+def test_compact_windows_have_every_centre_of_tied_values():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        v = rng.integers(1, rng.integers(3, 30), 300).astype(np.uint64)
+        v[rng.integers(0, 300, 2)] = 0
+        want = {i + int(v[i : i + 46].argmin()) for i in range(255) if v[i : i + 46].all()}
+        assert set(passages.compact_windows(v, 46)[1].tolist()) == want
+
+
 def test_passages_of_repeated_lines_are_found_at_any_offset():
     rng = np.random.default_rng(5)
     words = lambda n: rng.integers(1, 2**62, n).tolist()
