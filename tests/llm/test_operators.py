@@ -228,6 +228,15 @@ def test_compact_windows_have_every_centre_of_tied_values():
         assert set(passages.compact_windows(v, 46)[1].tolist()) == want
 
 
+def test_texts_that_share_a_passage_all_meet_the_smallest_id(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    passage = [word() for _ in range(60)]
+    rows = [(k, " ".join([*(word() for _ in range(20 + k % 7)), *passage, *(word() for _ in range(20))])) for k in range(200)]
+    pairs = {(r.a, r.b) for r in passages.candidate_pairs(docs_of(spark, rows), "doc_id", "text").collect()}
+    assert {(0, k) for k in range(1, 200)} <= pairs
+
+
 def test_passages_of_repeated_lines_are_found_at_any_offset():
     rng = np.random.default_rng(5)
     words = lambda n: rng.integers(1, 2**62, n).tolist()
