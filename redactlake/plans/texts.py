@@ -50,6 +50,8 @@ def _long_terms(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("text").alias("term"))
 
 
+# Terms of two words: short ones are found on several pages, which are what this query lists. Pages are read
+# whole; whole benchmark texts are the terms of q_leaked_terms and q_verify_clean.
 @query(
     "q_surviving_pages",
     f"""WITH terms AS ({_terms(_SHORT)}), pages AS (SELECT conv_id AS doc, turn AS page, {_flat("text")} AS t FROM conversations)
