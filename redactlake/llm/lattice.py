@@ -1,12 +1,18 @@
 """Language-model scores by a subword lattice.
 
-The vocabulary is that of an existing tokenizer; its scores start the pieces' probabilities. A word's
-probability is the sum over all its segmentations, by forward recursion in log space. Some rounds of
-expectation maximisation fit the piece probabilities to the words counted in the training texts. The
-vocabulary itself never changes. A word that the training texts have is a segmentation of its own, with
-its discounted relative frequency; what the discount frees weighs the lattice. A text's probability is
-the product over its words and one end, summed over the components of the model (one for each label of
-the training texts, such as their language), weighted by their shares; labels aren't read for scoring.
+The vocabulary is that of an existing tokenizer, and never changes. Every word is a lattice of its pieces:
+its lattice probability is the sum over all its segmentations, by forward recursion in log space, of the
+products of piece probabilities. These come from the vocabulary's scores, of which SCORE_SHARE stays for
+good, and from rounds of expectation maximisation over the distinct words of the training texts.
+
+A word that the training texts have is one more edge of its lattice, from its begin to its end, with its
+discounted relative frequency. All such edges together weigh at most 1 - LATTICE_SHARE, whatever the size
+of the corpus; the rest is the sum over segmentations into pieces.
+
+Words of a text are drawn from an urn: each draw puts one more ball of its word beside URN balls that are
+dealt by the probabilities above. A text's probability is that of its words in the urn and of its one end,
+summed over the components of the model (one for each label of the training texts, such as their
+language), weighted by their shares; labels aren't read for scoring.
 
 Texts are read once. A task counts words into a dictionary of its own, a block, and stores each text as
 places in it; then only dictionaries, not tokens, are shuffled: once by word, for the counts of the corpus,
@@ -15,7 +21,6 @@ and once by block, with each word's scores, to meet the block's texts.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,14 +35,18 @@ from redactlake.llm import common
 
 #: Marks where a word begins, in pieces.
 BOUNDARY = "▁"
-ROUNDS = 2
-#: What the scores of the vocabulary weigh against the training texts, in pieces.
-PRIOR_PIECES = 10_000.0
+ROUNDS = 3
+#: The share of each piece's probability that is the vocabulary's score, whatever the training texts have.
+SCORE_SHARE = 0.05
+#: The least weight of segmentations into pieces in each word's probability.
+LATTICE_SHARE = 0.4
+#: Balls of the urn before a text's first word.
+URN = 3000.0
 #: A block ends with so many bytes of text.
 BLOCK_BYTES = 12_000_000
 #: Words that a task scores at once, and the code points that it holds of those of one length.
 BATCH_WORDS, BATCH_CELLS = 50_000, 400_000
-#: Taken off each word's count; what it frees is the weight of the lattice.
+#: Taken off each word's count; what it frees goes to the pieces too.
 DISCOUNT = 0.6
 #: The most frequent labels of the training texts have a component each, the others one together.
 COMPONENTS = 8
@@ -74,8 +83,8 @@ def _hash(codes: np.ndarray, before: np.ndarray | np.uint64) -> np.ndarray:
     return (before ^ codes.astype(np.uint64)) * np.uint64(_MULTIPLIER) + np.uint64(0x632BE59BD9B4E019)
 
 
-#: Start, end, the piece of each word or -1, and the byte pieces of the words without one.
-Edge = tuple[int, int, np.ndarray, list[tuple[int, np.ndarray]]]
+#: Length, the piece of each start and word or -1, and the byte pieces of the single characters without one, by start and word.
+Edge = tuple[int, np.ndarray, list[tuple[int, int, np.ndarray]]]
 
 
 @dataclass
@@ -105,28 +114,27 @@ class Lattice:
         return Lattice(hashes[order], order.astype(np.int32), np.array(byte_piece, np.int32), int(lengths.max()), np.log(probabilities))
 
     def edges(self, codes: np.ndarray) -> list[Edge]:
-        """For words as rows of code points. A single character always has an edge: its piece, or its bytes."""
+        """For words as rows of code points, by length. A single character always has an edge: its piece, or its bytes."""
         words, n = codes.shape
+        across = np.ascontiguousarray(codes.T)  # (starts, words)
         out = []
-        for start in range(n):
-            h: np.ndarray | np.uint64 = np.uint64(0)
-            for end in range(start + 1, min(n, start + self.longest) + 1):
-                h = _hash(codes[:, end - 1], h)
-                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                found = self.keys[at] == h
-                single = end == start + 1
-                if not single and not found.any():
-                    continue
-                spelled = [(w, self.byte_piece[list(chr(int(codes[w, start])).encode("utf-8", "replace"))]) for w in np.flatnonzero(~found)] if single else []
-                out.append((start, end, np.where(found, self.piece[at], -1), spelled))
+        h: np.ndarray | np.uint64 = np.uint64(0)
+        for length in range(1, min(n, self.longest) + 1):
+            h = _hash(across[length - 1 :], h[: n - length + 1] if length > 1 else h)
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            found = self.keys[at] == h
+            if length > 1 and not found.any():
+                continue
+            spelled = [(s, w, self.byte_piece[list(chr(int(across[s, w])).encode("utf-8", "replace"))]) for s, w in zip(*(x.tolist() for x in np.nonzero(~found)), strict=True)] if length == 1 else []
+            out.append((length, np.where(found, self.piece[at], np.int32(-1)), spelled))
         return out
 
     def weigh(self, edges: list[Edge], k: int) -> list[np.ndarray]:
         out = []
-        for _, _, piece, spelled in edges:
+        for _, piece, spelled in edges:
             weight = np.where(piece >= 0, self.log_p[k, piece], -np.inf)
-            for w, raw in spelled:
-                weight[w] = self.log_p[k, raw].sum()
+            for s, w, raw in spelled:
+                weight[s, w] = self.log_p[k, raw].sum()
             out.append(weight)
         return out
 
@@ -134,17 +142,17 @@ class Lattice:
         """(n + 1, words): log of the sum over all segmentations of each prefix, or suffix."""
         total = np.full((n + 1, words), -np.inf)
         total[n if back else 0] = 0
-        meet = defaultdict(list)
-        for (start, end, _, _), weight in zip(edges, weights, strict=True):
-            meet[start if back else end].append((end if back else start, weight))
         for at in range(n - 1, -1, -1) if back else range(1, n + 1):
-            paths = np.stack([total[other] + weight for other, weight in meet[at]])
+            if back:
+                paths = np.stack([total[at + length] + weight[at] for (length, _, _), weight in zip(edges, weights, strict=True) if at + length <= n])
+            else:
+                paths = np.stack([total[at - length] + weight[at - length] for (length, _, _), weight in zip(edges, weights, strict=True) if at >= length])
             top = paths.max(axis=0)
             total[at] = top + np.log(np.exp(paths - top).sum(axis=0))
         return total
 
     def score(self, words: list[str]) -> np.ndarray:
-        """(words, components) log probabilities."""
+        """(words, components) log probabilities. Memory: some 200 bytes for each character of a batch, or of its longest word."""
         out = np.zeros((len(words), len(self.log_p)))
         for at, codes in _batches(words):
             edges = self.edges(codes)
@@ -152,19 +160,19 @@ class Lattice:
                 out[at, k] = self.forward(edges, self.weigh(edges, k), *codes.shape)[-1]
         return out
 
-    def expect(self, words: list[str], times: np.ndarray, k: int) -> np.ndarray:
-        """Expected number of each piece in the words, each taken so many times, under component k."""
+    def expect(self, words: list[str], k: int) -> np.ndarray:
+        """Expected number of each piece in the words, each taken once, under component k."""
         out = np.zeros(self.log_p.shape[1])
-        for at, codes in _batches(words):
+        for _, codes in _batches(words):
             edges, (rows, n) = self.edges(codes), codes.shape
             weights = self.weigh(edges, k)
             ahead, behind = self.forward(edges, weights, rows, n), self.forward(edges, weights, rows, n, back=True)
-            for (start, end, piece, spelled), weight in zip(edges, weights, strict=True):
-                expected = np.exp(ahead[start] + weight + behind[end] - ahead[n]) * times[at]
+            for (length, piece, spelled), weight in zip(edges, weights, strict=True):
+                expected = np.exp(ahead[: n - length + 1] + weight + behind[length:] - ahead[n])
                 known = piece >= 0
                 out += np.bincount(piece[known], expected[known], len(out))
-                for w, raw in spelled:
-                    np.add.at(out, raw, expected[w])
+                for s, w, raw in spelled:
+                    np.add.at(out, raw, expected[s, w])
         return out
 
 
@@ -301,7 +309,7 @@ def count_words(docs: DataFrame, training, held_out, id_column: str, text_column
 
 
 def fit(corpus: Corpus, vocabulary: str, rounds: int = ROUNDS) -> Lattice:
-    """Piece probabilities of each component, after some rounds over the training words."""
+    """Piece probabilities of each component, after some rounds over its distinct training words; the vocabulary's own for one without words."""
     pieces, raw, prior = load_vocabulary(vocabulary)
     spark = corpus.words.sparkSession
     k = len(corpus.tokens)
@@ -315,20 +323,63 @@ def fit(corpus: Corpus, vocabulary: str, rounds: int = ROUNDS) -> Lattice:
                 for batch in _gathered(batches):
                     words = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
                     for i in range(len(total)):
-                        times = batch.column(f"n{i}").to_numpy().astype(np.float64)
-                        at = np.flatnonzero(times)
-                        total[i] += sent.value.expect([words[j] for j in at], times[at], i)
+                        total[i] += sent.value.expect([words[j] for j in np.flatnonzero(batch.column(f"n{i}").to_numpy())], i)
             component, piece = np.nonzero(total)
             yield pa.record_batch([pa.array(component.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[component, piece])], ["component", "piece", "n"])
 
         learned = corpus.words.where(F.col("first") & (F.greatest(F.lit(0), *corpus.counts) > 0)).select("word", *corpus.counts)
         table = learned.mapInArrow(expected, "component int, piece int, n double").groupBy("component", "piece").agg(F.sum("n").alias("n")).toPandas()  # at most a row for each component and piece
-        counts = np.tile(PRIOR_PIECES * prior, (k, 1))
+        counts = np.zeros((k, len(prior)))
         np.add.at(counts, (table.component.to_numpy(np.int64), table.piece.to_numpy(np.int64)), table.n.to_numpy())
-        lattice = Lattice.of(pieces, raw, counts / counts.sum(axis=1, keepdims=True))
+        used = counts.sum(axis=1, keepdims=True)
+        lattice = Lattice.of(pieces, raw, np.where(used > 0, SCORE_SHARE * prior + (1 - SCORE_SHARE) * counts / np.maximum(used, 1e-9), prior))
     return lattice
 
 
+@dataclass
+class WordModel:
+    """A word's probability in each component: its own edge and its segmentations into pieces."""
+
+    lattice: Lattice
+    mass: np.ndarray  # discounted counts of all words of a component
+    free: np.ndarray  # weight of segmentations into pieces
+
+    @staticmethod
+    def of(corpus: Corpus, lattice: Lattice) -> WordModel:
+        words = np.maximum(corpus.tokens - corpus.ends, 0).astype(np.float64)
+        freed = DISCOUNT * corpus.distinct
+        return WordModel(lattice, np.maximum(words - freed, 1e-9), np.where(words > 0, np.maximum(freed / np.maximum(words, 1), LATTICE_SHARE), 1.0))
+
+    def log_p(self, counts: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+        """From (words, components) counts and log lattice probabilities."""
+        with np.errstate(divide="ignore"):
+            own = np.log((1 - self.free) * np.maximum(counts - DISCOUNT, 0) / self.mass)
+            return np.logaddexp(own, np.log(self.free) + pieces)
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of numbers from 1 on: Stirling's series eight places further."""
+    shift = np.log(x)
+    for i in range(1, 8):
+        shift = shift + np.log(x + i)
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+
+
+def urn(log_p: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Log probability, in each component, of drawing the words, each so many times, in a given order.
+
+    A word's j-th draw after n others has probability (URN * p + j - 1) / (URN + n).
+    """
+    n = int(times.sum())
+    out = n and (times > 0) @ (np.log(URN) + log_p)
+    more = np.flatnonzero(times > 1)
+    balls = URN * np.exp(log_p[more])
+    out = out + (log_gamma(balls + times[more, None]) - log_gamma(balls + 1)).sum(axis=0)
+    start = log_gamma(np.array([URN, URN + n]))
+    return out + start[0] - start[1]
+
+
 def score_texts(docs: DataFrame, training, held_out, vocabulary: str | None = None, id_column: str = "doc_id", text_column: str = "text", component_column: str | None = None) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) for each row of docs.
 
@@ -342,22 +393,19 @@ def score_texts(docs: DataFrame, training, held_out, vocabulary: str | None = No
     lattice = fit(corpus, vocabulary or vocabulary_path())
     spark = docs.sparkSession
     columns, n, ends = corpus.counts, int(corpus.tokens.sum()), int(corpus.ends.sum())
-    used = np.maximum(corpus.tokens, 1).astype(np.float64)
-    free = np.where(corpus.tokens > 0, np.maximum(DISCOUNT * corpus.distinct / used, 1e-9), 1.0)
-    with np.errstate(divide="ignore"):
-        share = np.log(np.maximum(corpus.ends, 0.5) / np.maximum(corpus.ends, 0.5).sum())
-    end_p = np.log(np.where(corpus.ends > 0, corpus.ends / used, 0.5))
-    sent = spark.sparkContext.broadcast((lattice, used, free))
+    model = WordModel.of(corpus, lattice)
+    share = np.log(np.maximum(corpus.ends, 0.5) / np.maximum(corpus.ends, 0.5).sum())
+    end_p = np.log(np.where(corpus.ends > 0, corpus.ends / np.maximum(corpus.tokens, 1), 0.5))
+    sent = spark.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, used, free = sent.value
+        model = sent.value
         with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
             for batch in _gathered(batches, 4):  # rows of a word are neighbours: it is scored once
                 encoded = batch.column("word").dictionary_encode()
-                score = lattice.score([w.decode("utf-8", "replace") for w in encoded.dictionary.to_pylist()])
+                pieces = model.lattice.score([w.decode("utf-8", "replace") for w in encoded.dictionary.to_pylist()])
                 counts = np.stack([batch.column(c).to_numpy() for c in columns], axis=1)
-                own = np.log(np.maximum(counts - DISCOUNT, 0) / used)
-                log_p = np.logaddexp(own, np.log(free) + score[encoded.indices.to_numpy()])
+                log_p = model.log_p(counts, pieces[encoded.indices.to_numpy()])
                 yield pa.record_batch([batch.column("owner"), batch.column("place"), pa.array(counts.sum(axis=1)), *(pa.array(x.astype(np.float32)) for x in log_p.T)], ["owner", "place", "c", *(f"p{k}" for k in range(len(columns)))])
 
     parts = [f"p{k}" for k in range(len(columns))]
@@ -375,7 +423,7 @@ def score_texts(docs: DataFrame, training, held_out, vocabulary: str | None = No
         out = []
         for packed in stored.column("counts").to_pylist():
             ids, times = unpack_counts(packed)
-            score = np.logaddexp.reduce(times @ log_p[ids] + end_p + share)
+            score = np.logaddexp.reduce(urn(log_p[ids], times) + end_p + share)
             out.append((int(times.sum()) + 1, int(times[c[ids] > 0].sum()) + (ends > 0), float(base[ids] @ times + end_base), float(score / np.log(10))))
         tokens, known, bases, scores = zip(*out, strict=True) if out else ((), (), (), ())
         return pa.table({"id": stored.column("id"), "held_out": stored.column("held_out"), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([n] * len(out), pa.int64()), "base_score": pa.array(bases, pa.float64()), "score": pa.array(scores, pa.float64())})

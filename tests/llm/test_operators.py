@@ -286,7 +286,7 @@ def test_lattice_sums_all_segmentations():
     words = ["ab", "aab", "b", "abé", "é", "abab" * 3]
     with np.errstate(over="ignore"):
         got = np.exp(lat.score(words)[:, 0])
-        counts = lat.expect(["ab"], np.array([2.0]), 0)
+        counts = lat.expect(["ab", "ab"], 0)
     assert got == pytest.approx([total("▁" + w) for w in words], rel=1e-9)
     whole = total("▁ab")
     assert counts[pieces.index("▁a")] == pytest.approx(2 * p["▁a"] * p["b"] / whole)
@@ -305,8 +305,69 @@ def test_lattice_base_score_and_held_out_gain(spark, data, documents):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (fold[r.doc_id] == 1, len(ws), sum(counts[w] > 0 for w in ws), n)
         assert r.base_score == pytest.approx(sum(np.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel=1e-9)
         assert np.isfinite(r.score) and r.score < 0
-    known = [r for r in rows if not r.held_out]
-    assert sum(r.score for r in known) > sum(r.base_score for r in known)
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_lattice_gains_on_held_out_texts(spark, size):
+    rows = lattice.op5_lattice_score(spark, f"/root/testdata/{size}").where("held_out").collect()
+    assert len(rows) > 100
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_lattice_score_equals_a_plain_one(spark):
+    rows = [(0, "the cat saw the cat", "en"), (2, "a dog é saw", "en"), (3, "der hund der", "de"), (4, "die katze", "de"), (6, "the dog the dog the dog der", "en"), (1, "the hund qx the", "en"), (11, None, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.id: r for r in lattice.score_texts(docs, F.col("doc_id") % 5 != 1, F.col("doc_id") % 5 == 1, component_column="lang").collect()}
+    pieces, raw, prior = lattice.load_vocabulary(lattice.vocabulary_path())
+    place = {p: i for i, p in enumerate(pieces[: raw[0]])}
+
+    def ways(word, p):
+        """(probability, expected pieces) over all segmentations, each followed on its own."""
+        total, used = 0.0, Counter()
+        stack = [(0, 1.0, ())]
+        while stack:
+            at, so_far, path = stack.pop()
+            if at == len(word):
+                total += so_far
+                for i in path:
+                    used[i] += so_far
+                continue
+            for end in range(at + 1, len(word) + 1):
+                part = word[at:end]
+                if part in place:
+                    stack.append((end, so_far * p[place[part]], (*path, place[part])))
+                elif end == at + 1:
+                    spelled = [raw[b] for b in part.encode()]
+                    stack.append((end, so_far * float(np.prod(p[spelled])), (*path, *spelled)))
+        return total, Counter({i: n / total for i, n in used.items()})
+
+    by_label, ends, label_p = {}, Counter(), {}
+    for d, t, label in rows:
+        if d % 5 != 1:
+            by_label.setdefault(label, Counter()).update((t or "").split())
+            ends[label] += 1
+    for label, words in by_label.items():
+        p = prior
+        for _ in range(lattice.ROUNDS):
+            expected = np.zeros(len(p))
+            for w in words:
+                for i, n in ways("▁" + w, p)[1].items():
+                    expected[i] += n
+            p = lattice.SCORE_SHARE * prior + (1 - lattice.SCORE_SHARE) * expected / expected.sum()
+        label_p[label] = p
+    for d, t, _ in rows:
+        total = 0.0
+        for label, words in by_label.items():
+            n = words.total()
+            free = max(lattice.LATTICE_SHARE, lattice.DISCOUNT * len(words) / n)
+            drawn, x = Counter(), ends[label] / sum(ends.values()) * ends[label] / (n + ends[label])
+            for w in (t or "").split():
+                own = max(words[w] - lattice.DISCOUNT, 0) / (n - lattice.DISCOUNT * len(words))
+                p = (1 - free) * own + free * ways("▁" + w, label_p[label])[0]
+                x *= (lattice.URN * p + drawn[w]) / (lattice.URN + drawn.total())
+                drawn[w] += 1
+            total += x
+        assert got[d].score == pytest.approx(np.log10(total), rel=1e-5)
 
 
 def test_lattice_edges(spark):
