@@ -1,13 +1,20 @@
 """Approximate nearest neighbours by collision counting.
 
-Vectors of a block are projected on single random lines, each with a sorted array of its own. A query
-expands windows around its own projections, level by level (virtual rehashing: a wider bucket is just a
-wider window), and counts in how many of them each vector has come up. Vectors that collide often enough
-are verified with the exact measure.
+Vectors of a block are projected on single random lines, each with a sorted array of its own. A query's
+windows lie around its own projections; a wider bucket is just a wider window (virtual rehashing), and
+they expand until they are as wide as the distance within which its neighbours lie. Vectors that collide
+with the query on enough lines are verified with the exact measure.
+
+That distance comes from a bounded sample of the rows: a query's k-th nearest of those is no nearer than
+its k-th nearest of all. A vector at that distance falls into a window with a known probability on each
+line, so the collision threshold follows from how seldom a neighbour may be missed; no number or share of
+candidates is set.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,14 +22,17 @@ from pyspark.sql import functions as F
 
 from redactlake.llm import common
 
-#: Lines, and the share of them on which a vector must collide.
+#: At most 255, so that counts take a byte.
 LINES = 96
-THRESHOLD = 0.65
 #: Half the first window, in units of the largest norm, and its growth from level to level.
-FIRST_WINDOW, GROWTH = 0.5, 1.1
-#: Windows expand until so many vectors for each wanted neighbour, and this share of a block, are to be verified.
-PER_NEIGHBOUR, VERIFIED = 10, 0.1
-#: At most 65,535, so that places take two bytes.
+FIRST_WINDOW, GROWTH = 0.05, 1.1
+#: Standard deviations of a neighbour's collisions that the threshold lies below their mean: of neighbours as
+#: far as the sample's k-th one in 44 is missed, of nearer ones fewer.
+MARGIN = 2.0
+#: Rows of the sample that tells how near neighbours are.
+SAMPLE_ROWS = 8192
+#: A sorted array's places are told apart in so many steps, one byte each.
+STEPS = 256
 BLOCK_ROWS = 8192
 QUERY_ROWS = 2048
 SEED = 7
@@ -33,67 +43,81 @@ def lines(dimension: int, number: int = LINES) -> np.ndarray:
     return np.random.default_rng([SEED, dimension]).standard_normal((dimension, number))
 
 
-def search_block(vectors: np.ndarray, queries: np.ndarray, largest: float, k: int) -> list[np.ndarray]:
-    """For each query the places of the vectors to verify.
+def unit(queries: np.ndarray) -> np.ndarray:
+    """Scaled by their largest component first, so that no square vanishes or overflows."""
+    scaled = queries / np.abs(queries).max(axis=1, keepdims=True)
+    return scaled / np.sqrt((scaled**2).sum(axis=1, keepdims=True))
+
+
+def reach(queries: np.ndarray, own: np.ndarray, sample: np.ndarray, sample_rows: np.ndarray, k: int) -> np.ndarray:
+    """Distance to each query's k-th nearest of the sample but itself; infinite if there are fewer.
+
+    sample holds vectors scaled by the largest norm, queries are unit vectors. Inner products become
+    distances as in search_block().
+    """
+    out = np.full(len(queries), np.inf)
+    for at in range(0, len(queries), 256):
+        products = queries[at : at + 256] @ sample.T
+        products[own[at : at + 256, None] == sample_rows[None, :]] = -np.inf
+        if products.shape[1] >= k:
+            best = np.partition(products, products.shape[1] - k, axis=1)[:, products.shape[1] - k]
+            out[at : at + 256] = np.sqrt(np.maximum(2 - 2 * best, 0))  # infinite where the k-th is the query itself
+    return out
+
+
+def search_block(vectors: np.ndarray, queries: np.ndarray, distances: np.ndarray) -> list[np.ndarray]:
+    """For each query the places of the vectors to verify: those that are likely to be within its distance.
 
-    Inner products become distances: vectors are scaled by the largest norm and get a coordinate that makes
-    them unit vectors, queries are scaled to unit length and get a zero there.
+    vectors are scaled by the largest norm, queries are unit vectors. Inner products become distances:
+    vectors get a coordinate that makes them unit vectors, queries a zero there.
     """
     n = len(vectors)
-    scaled = vectors / largest
-    rest = np.sqrt(np.maximum(0, 1 - (scaled**2).sum(axis=1, keepdims=True)))
+    rest = np.sqrt(np.maximum(0, 1 - (vectors**2).sum(axis=1, keepdims=True)))
     directions = lines(vectors.shape[1] + 1)
-    projected = np.ascontiguousarray((np.hstack([scaled, rest]) @ directions).T)
+    projected = np.ascontiguousarray((np.hstack([vectors, rest]) @ directions).T)
     order = np.argsort(projected, axis=1)
     values = np.take_along_axis(projected, order, axis=1)  # each line's sorted array
-    places = np.empty((LINES, n), np.uint16)  # each vector's place in it
-    np.put_along_axis(places, order, np.arange(n, dtype=np.uint16)[None, :], axis=1)
-    centres = np.hstack([queries / np.sqrt((queries**2).sum(axis=1, keepdims=True)), np.zeros((len(queries), 1))]) @ directions
-    needed = int(np.ceil(THRESHOLD * LINES))
-    wanted = min(n, PER_NEIGHBOUR * k + 1 + int(np.ceil(VERIFIED * n)))
-    found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
-    shifted, inside = np.empty((LINES, n), np.uint16), np.empty((LINES, n), bool)
-    few = slice(0, max(1, n // 16))
-
-    windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def collisions(q: int, level: int, part: slice) -> np.ndarray:
-        """On how many lines each vector is in the query's window: its place, less the window's first one, is under the width."""
-        if level not in windows:
-            half = FIRST_WINDOW * GROWTH**level
-            low, high = (np.stack([np.searchsorted(values[i], centres[:, i] + way * half, side=side) for i in range(LINES)], axis=1) for way, side in ((-1, "left"), (1, "right")))
-            windows[level] = low.astype(np.uint16)[:, :, None], (high - low).astype(np.uint16)[:, :, None]
-        low, width = windows[level]
-        np.subtract(places[:, part], low[q], out=shifted[:, part])  # places before it wrap around
-        np.less(shifted[:, part], width[q], out=inside[:, part])
-        return inside[:, part].view(np.uint8).sum(axis=0, dtype=np.uint8)
-
-    last = int(np.ceil(np.log(1e3) / np.log(GROWTH)))  # a window that holds every projection
-    for q in range(len(queries)):
-        level = 0
-        # a sixteenth of the vectors, which lie in random order, tells at which level to look at all of them
-        while level < last and (collisions(q, level, few) >= needed).mean() < 0.9 * wanted / n:
-            level += 1
-        hit = np.flatnonzero(collisions(q, level, slice(0, n)) >= needed)
-        while len(hit) < wanted and level < last:
-            level += 1
-            hit = np.flatnonzero(collisions(q, level, slice(0, n)) >= needed)
-        found[q] = hit
+    step = (np.arange(n) * STEPS // n).astype(np.uint8)
+    places = np.empty((LINES, n), np.uint8)  # each vector's place in it
+    np.put_along_axis(places, order, step[None, :], axis=1)
+    centres = queries @ directions[:-1]
+    known = np.isfinite(distances)
+    level = np.ceil(np.log(np.maximum(np.where(known, distances, 1), 1e-9) / FIRST_WINDOW) / math.log(GROWTH))
+    half = FIRST_WINDOW * GROWTH ** np.maximum(level, 0)
+    first, last = (np.stack([np.searchsorted(values[i], centres[:, i] + way * half, side=side) for i in range(LINES)], axis=1) for way, side in ((-1, "left"), (1, "right")))
+    first = np.minimum(first, n - 1)
+    last = np.clip(last - 1, first, n - 1)
+    low = step[first]
+    width = step[last] - low
+    found: list[np.ndarray] = [np.arange(n)] * len(queries)  # without a distance, all
+    shifted, inside = np.empty((LINES, n), np.uint8), np.empty((LINES, n), bool)
+    for q in np.flatnonzero(known & (distances > 0)).tolist():
+        chance = math.erf(half[q] / distances[q] / math.sqrt(2))
+        needed = math.floor(LINES * chance - MARGIN * math.sqrt(LINES * chance * (1 - chance)))
+        np.subtract(places, low[q][:, None], out=shifted)  # places before the window wrap around
+        np.less_equal(shifted, width[q][:, None], out=inside)
+        found[q] = np.flatnonzero(inside.view(np.uint8).sum(axis=0, dtype=np.uint8) >= needed)
     return found
 
 
-def _search(k: int, largest: float):
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.asarray(column.combine_chunks().flatten(), np.float64).reshape(-1, width)
+
+
+def _search(k: int, high: float, largest: float):
     empty = {"query_row": pa.int64(), "query_id": pa.int64(), "row": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
 
     def run(key: tuple, data: pa.Table, asked: pa.Table) -> pa.Table:
         out = {name: [] for name in empty}
         if data.num_rows and asked.num_rows:
             width = len(data.column("vector")[0])
-            vectors, queries = (np.asarray(t.column("vector").combine_chunks().flatten(), np.float64).reshape(-1, width) for t in (data, asked))
+            vectors, queries = (_matrix(t.column("vector"), width) for t in (data, asked))
             ids, rows = data.column("id").to_numpy(), data.column("row").to_numpy()
-            for query_row, query_id, query, hit in zip(asked.column("row").to_pylist(), asked.column("id").to_pylist(), queries, search_block(vectors, queries, largest, k), strict=True):
+            hits = search_block(vectors / high / largest, unit(queries), asked.column("distance").to_numpy())
+            for query_row, query_id, query, hit in zip(asked.column("row").to_pylist(), asked.column("id").to_pylist(), queries, hits, strict=True):
                 hit = hit[rows[hit] != query_row]
-                scores = (vectors[hit] * query).sum(axis=1)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    scores = (vectors[hit] * query).sum(axis=1)
                 if len(hit) > k:  # with all that tie with the last
                     top = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
                     hit, scores = hit[top], scores[top]
@@ -122,21 +146,45 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id"
     the smaller id. Vectors that are null, zero, empty or hold null or non-finite components take no part,
     nor do null ids; vectors are compared with those of their own length. A query with fewer candidates
     gets all of them. Repeated ids are rows of their own; an empty table gives no rows. Extra columns are
-    not read.
+    not read. Norms may be of any size: the search scales them; a score that is too small or too large for
+    double precision is zero or infinite.
 
     Queries meet all rows, block by block: a task holds BLOCK_ROWS vectors and QUERY_ROWS queries.
     """
     part = vectors.withColumn("_asks", F.coalesce(is_query, F.lit(False))).where(F.col(id_column).isNotNull() & usable(vector_column))
     part = part.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"), F.col("_asks").alias("asks"))
+    spark = vectors.sparkSession
     rows = common.save(part.withColumn("row", F.monotonically_increasing_id()).withColumn("width", F.size("vector")), "vectors")
-    n, asked, largest = rows.agg(F.count("*"), F.count_if("asks"), F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))).first()
+    n, asked, high = rows.agg(F.count("*"), F.count_if("asks"), F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x))))).first()
+    high = float(high or 1.0)
+    largest = float(rows.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / high) * (x / high)))).first()[0] or 1.0) ** 0.5
+    drawn = rows.orderBy(F.xxhash64("row", F.lit(3))).limit(SAMPLE_ROWS).select("row", "width", "vector").toArrow()  # at most SAMPLE_ROWS rows
+    widths = drawn.column("width").to_numpy()
+    sample = {}
+    for width in np.unique(widths).tolist():
+        of_width = drawn.filter(pa.array(widths == width))
+        sample[width] = of_width.column("row").to_numpy(), _matrix(of_width.column("vector"), width) / high / largest
+    sent = spark.sparkContext.broadcast(sample)
+
+    def with_distance(batches):
+        for batch in common.slices(batches, QUERY_ROWS):
+            width, own = batch.column("width").to_numpy(), batch.column("row").to_numpy()
+            distance = np.full(len(own), np.inf)
+            for w in set(width.tolist()) & set(sent.value):
+                at = np.flatnonzero(width == w)
+                queries = _matrix(pa.chunked_array([batch.column("vector").take(pa.array(at))]), w)
+                sample_rows, held = sent.value[w]
+                distance[at] = reach(unit(queries), own[at], held, sample_rows, k)
+            yield batch.append_column("distance", pa.array(distance))
+
     blocks, query_blocks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-asked // QUERY_ROWS))
     place = lambda number, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(number)).cast("int")
     numbers = lambda number: F.explode(F.sequence(F.lit(0), F.lit(number - 1)))
     data = rows.select("id", "row", "vector", "width", place(blocks, 1).alias("block"), numbers(query_blocks).alias("query_block"))
-    queries = rows.where("asks").select("id", "row", "vector", "width", numbers(blocks).alias("block"), place(query_blocks, 2).alias("query_block"))
+    queries = rows.where("asks").select("id", "row", "vector", "width").mapInArrow(with_distance, "id bigint, row bigint, vector array<double>, width int, distance double")
+    queries = queries.select("*", numbers(blocks).alias("block"), place(query_blocks, 2).alias("query_block"))
     key = ["width", "block", "query_block"]
-    found = data.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(_search(k, float(largest or 1.0) ** 0.5), "query_row bigint, query_id bigint, row bigint, vec_id bigint, score double")
+    found = data.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(_search(k, high, largest), "query_row bigint, query_id bigint, row bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
