@@ -1,10 +1,10 @@
 """Chat formatting by prefix-target expansion.
 
 Every assistant turn is an example of its own: all turns before it are its context, and its reply alone is
-trainable. As each context begins with the one before, a conversation is rendered once, turn by turn, and
-an example names the stretches of that rendering which it uses: [0, context_end) and its loss stretch.
-That keeps the output in proportion to the input, where texts written out would grow with the square of a
-conversation's length; written_out() makes those texts for those who want them.
+trainable. A conversation is rendered once, turn by turn; then each reply is exploded into an example whose
+text is the rendering up to it. As each context begins with the one before, the examples' texts grow with
+the square of a conversation's length; whoever can't afford that keeps the rendered turns, which name the
+stretches that an example uses: [0, context_end) and its loss stretch.
 """
 
 from __future__ import annotations
@@ -61,7 +61,12 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("conv_id"), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], ["conv_id", "seq", "rendered", "start", "example", "context_end", "loss_start", "loss_end"])
 
 
-def format_conversations(turns: DataFrame, conv_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role", text_column: str = "text") -> DataFrame:
+def _ordered(turns: DataFrame, conv_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role", text_column: str = "text") -> DataFrame:
+    rows = turns.select(F.col(conv_column).alias("conv_id"), F.col(turn_column).alias("turn"), common.text_of(role_column).alias("role"), common.text_of(text_column).alias("text"))
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+
+
+def rendered_turns(turns: DataFrame, conv_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role", text_column: str = "text") -> DataFrame:
     """One row for each turn, sorted by conversation and turn: its rendering, where that starts, and the example whose target it is.
 
     Null roles and texts are empty. Rows come by turn, null turns first; equal turns by role, then text, and
@@ -70,62 +75,109 @@ def format_conversations(turns: DataFrame, conv_column: str = "conv_id", turn_co
     rows, extra columns are not read. Rows of a conversation pass through one task as a stream, whatever
     their number: the memory used is that of a batch.
     """
-    rows = turns.select(F.col(conv_column).alias("conv_id"), F.col(turn_column).alias("turn"), common.text_of(role_column).alias("role"), common.text_of(text_column).alias("text"))
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(_render, PIECE.format(conv=rows.schema["conv_id"].dataType.simpleString()))
-
-
-def written_out(pieces: DataFrame) -> DataFrame:
-    """conv_id, example, text, loss_start, loss_end: each example's whole text. pieces as format_conversations() returns them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, so_far = None, ""
-        for batch in common.slices(batches, 16):
-            for row in batch.to_pylist():
-                if current != (row["conv_id"],):
-                    current, so_far = (row["conv_id"],), ""
-                so_far += row["rendered"]
-                if row["example"] is not None:
-                    yield pa.record_batch([pa.array([row["conv_id"]], batch.schema.field("conv_id").type), pa.array([row["example"]]), pa.array([so_far]), pa.array([row["loss_start"]]), pa.array([row["loss_end"]])], ["conv_id", "example", "text", "loss_start", "loss_end"])
-
-    return pieces.mapInArrow(run, f"conv_id {pieces.schema['conv_id'].dataType.simpleString()}, example bigint, text string, loss_start bigint, loss_end bigint")
-
-
-def read_back(pieces: DataFrame) -> DataFrame:
-    """Digests of each conversation, parsed from the rendering alone; pieces as format_conversations() returns them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state = None, None
-
-        def done() -> pa.RecordBatch:
-            values = [state["n"], state["turns"].hexdigest(), state["loss_chars"], state["loss"].hexdigest(), state["chars"], state["examples"], state["expanded"]]
-            return pa.record_batch([pa.array([current[0]], kind), *(pa.array([v]) for v in values)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples", "expanded_chars"])
-
-        for batch in common.slices(batches):
-            kind = batch.schema.field("conv_id").type
-            ended = []
-            for row in batch.to_pylist():
-                if current != (row["conv_id"],):
-                    if current is not None:
-                        ended.append(done())
-                    current = (row["conv_id"],)
-                    state = {"n": 0, "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "chars": 0, "examples": 0, "expanded": 0}
-                rendered = row["rendered"]
-                for role, text in _TURN.findall(rendered):
-                    state["turns"].update(f"{unescape(role)}\n{unescape(text)}\n".encode())
-                    state["n"] += 1
-                state["chars"] += len(rendered)
-                if row["example"] is not None:
-                    loss = unescape(rendered[row["loss_start"] - row["start"] : row["loss_end"] - row["start"]])
-                    state["loss"].update(loss.encode())
-                    state["loss_chars"] += len(loss)
-                    state["examples"] += 1
-                    state["expanded"] += row["start"] + len(rendered)
-            yield from ended
-        if current is not None:
-            yield done()
-
-    return pieces.mapInArrow(run, f"conv_id {pieces.schema['conv_id'].dataType.simpleString()}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_examples bigint, expanded_chars bigint")
+    return _ordered(turns, conv_column, turn_column, role_column, text_column).mapInArrow(_render, PIECE.format(conv=turns.schema[conv_column].dataType.simpleString()))
+
+
+EXAMPLE = ("conv_id", "example", "n_turns", "text", "loss_start", "loss_end")
+EXAMPLE_SCHEMA = "conv_id {conv}, example bigint, n_turns bigint, text string, loss_start bigint, loss_end bigint"
+#: Characters of texts that a batch of examples holds, at about the least.
+BATCH_CHARS = 1 << 20
+
+
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    current, text, done, turns, rows, size = None, "", 0, 0, [], 0
+
+    def made(id_type: pa.DataType) -> pa.RecordBatch:
+        kinds = (id_type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], EXAMPLE)
+
+    id_type = None
+    for batch in common.slices(batches):
+        id_type = batch.schema.field("conv_id").type
+        for conv, rendered, example, start, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "rendered", "example", "loss_start", "loss_end")), strict=True):
+            if current != (conv,):
+                if done < len(text):
+                    rows.append((current[0], None, turns, text[done:], None, None))
+                current, text, done, turns = (conv,), "", 0, 0
+            text += rendered
+            turns += 1
+            if example is not None:
+                rows.append((conv, example, turns, text, start, end))
+                size += len(text)
+                done = len(text)
+            if size >= BATCH_CHARS:
+                yield made(id_type)
+                rows, size = [], 0
+    if done < len(text):
+        rows.append((current[0], None, turns, text[done:], None, None))
+    if rows:
+        yield made(id_type)
+
+
+def examples(pieces: DataFrame) -> DataFrame:
+    """conv_id, example, n_turns, text, loss_start, loss_end: an example for each reply, its whole text written out.
+
+    pieces as rendered_turns() returns them. Turns after a conversation's last reply, which are no reply's
+    context, follow in a row whose example is null; so do all turns of one without a reply. Characters from
+    loss_start to loss_end are trainable. A task holds the text of one conversation.
+    """
+    return pieces.mapInArrow(_examples, EXAMPLE_SCHEMA.format(conv=pieces.schema["conv_id"].dataType.simpleString()))
+
+
+def format_conversations(turns: DataFrame, **columns: str) -> DataFrame:
+    """The examples of conversations; see rendered_turns() and examples()."""
+    return examples(rendered_turns(turns, **columns))
+
+
+DIGESTS = "conv_id {conv}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_examples bigint"
+
+
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    current, state = None, None
+
+    def done() -> pa.RecordBatch:
+        values = [state["n"], state["turns"].hexdigest(), state["loss_chars"], state["loss"].hexdigest(), state["chars"], state["examples"]]
+        return pa.record_batch([pa.array([current[0]], kind), *(pa.array([v]) for v in values)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples"])
+
+    for batch in common.slices(batches, 64):
+        kind = batch.schema.field("conv_id").type
+        ended = []
+        for row in batch.to_pylist():
+            if current != (row["conv_id"],):
+                if current is not None:
+                    ended.append(done())
+                current = (row["conv_id"],)
+                state = {"n": 0, "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "chars": 0, "examples": 0, "before": ""}
+            text, new = row["text"], 0
+            state["chars"] += len(text)
+            if row["example"] is not None:
+                if not text.startswith(state["before"]):
+                    raise ValueError(f"example {row['example']} of conversation {current[0]} doesn't begin with its context")
+                new, state["before"] = len(state["before"]), text
+                loss = unescape(text[row["loss_start"] : row["loss_end"]])
+                state["loss"].update(loss.encode())
+                state["loss_chars"] += len(loss)
+                state["examples"] += 1
+            for found in _TURN.finditer(text, new):
+                state["turns"].update(f"{unescape(found[1])}\n{unescape(found[2])}\n".encode())
+                state["n"] += 1
+        yield from ended
+    if current is not None:
+        yield done()
+
+
+def read_back(made: DataFrame) -> DataFrame:
+    """Digests of each conversation, parsed from the texts of its examples alone; made as examples() returns it.
+
+    Each example has to begin with the one before it: that is checked, and only what is new is parsed.
+    formatted_chars counts the texts of all rows.
+    """
+    return made.mapInArrow(_read_back, DIGESTS.format(conv=made.schema["conv_id"].dataType.simpleString()))
+
+
+def digests(turns: DataFrame) -> DataFrame:
+    """What read_back() gives of format_conversations(), batch after batch in one pass: examples aren't held beyond a batch."""
+    return _ordered(turns).mapInArrow(lambda batches: _read_back(_examples(_render(batches))), DIGESTS.format(conv=turns.schema["conv_id"].dataType.simpleString()))
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,4 +185,4 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = common.read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", hostile), (-7, 1, ASSISTANT, hostile)], "conv_id long, turn long, role string, text string")
-    return read_back(format_conversations(turns.unionByName(extra)))
+    return digests(turns.unionByName(extra))
