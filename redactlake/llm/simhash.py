@@ -3,7 +3,8 @@
 A fingerprint's 64 bits are cut into three segments. Of two fingerprints that differ in at most four bits
 one segment differs in at most one (4 < 2 * 3), so both have a variant in common: that segment with one
 bit as a wildcard. All 64 variants of each distinct fingerprint are indexed; an equality join on them
-finds candidates, and the distance is verified in the join.
+finds candidates, and the distance is verified in the join. Whole segments, three rows a fingerprint, go
+before: they find the large groups, whose members then needn't be held against each other.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactlake.llm import common
@@ -48,21 +49,26 @@ def fingerprint(text: bytes) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.slices(batches):
+        kept = [x for x in batch.schema.names if x != "text"]
         made = np.fromiter((fingerprint(x) for x in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
-        yield pa.record_batch([batch.column("id"), pa.array(made.view(np.int64)), batch.column("text_key"), batch.column("n_chars")], ["id", "fp", "text_key", "n_chars"])
+        yield pa.record_batch([*map(batch.column, kept), pa.array(made.view(np.int64))], [*kept, "fp"])
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     text = common.text_of(text_column)
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), text.cast("binary").alias("text"), common.text_key(text_column).alias("text_key"), F.char_length(text).cast("long").alias("n_chars"))
-    return rows.mapInArrow(_fingerprints, "id bigint, fp bigint, text_key bigint, n_chars bigint")
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), text.cast("binary").alias("text"), common.text_key(text_column).alias("text_key"), F.char_length(text).cast("long").alias("n_chars"), F.monotonically_increasing_id().alias("row_no"))
+    return rows.mapInArrow(_fingerprints, "id bigint, text_key bigint, n_chars bigint, row_no bigint, fp bigint")
+
+
+def _segment(fp: Column, first: int, bits: int) -> Column:
+    return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << bits) - 1))
 
 
 def _variants(fp: Column) -> Column:
     """The 64 variants as bigints: which bit is the wildcard, above the segment's other bits."""
     out = []
     for first, bits in SEGMENTS:
-        segment = F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << bits) - 1))
+        segment = _segment(fp, first, bits)
         out += [segment.bitwiseAND(F.lit(~(1 << i))).bitwiseOR(F.lit((first + i) << 32)) for i in range(bits)]
     return F.array(*out)
 
@@ -74,31 +80,42 @@ def _near(a: str, b: str) -> Column:
 def link(prints: DataFrame) -> DataFrame:
     """(fp, id, component) for each distinct fp in prints(fp, id), id being its smallest one.
 
-    A group that shares a variant may be large (a ball of near copies), so pairs are not expanded: first
-    each member is held against the group's smallest fingerprint only; then, with the components of these
-    links known, members of different components are joined, and the join keeps verified pairs alone.
-    Links inside a component can't change the result, so none is lost. Groups are of distinct
-    fingerprints; copies of one, however many, are a single member.
+    First each fingerprint is held against the smallest one that shares a whole segment. Then, with the
+    components of these links known, variants are indexed. In a group of one variant all members but those
+    of its largest component are held against all others: of two members of different components one is
+    among the former, so no link between components is lost, and links inside one can't change the result.
+    A ball of near copies, however large, costs as many comparisons as it has members for each stranger in
+    its group. Groups are aggregated before the shuffle and then joined, so the adaptive skew join splits
+    them; none is held by one task. Copies of a fingerprint, however many, are a single member.
     """
     nodes = common.save(prints.groupBy("fp").agg(F.min("id").alias("id")), "prints")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes 64: a few small files are too few tasks
-    nodes = nodes.repartition(parts, "fp")
-    group = Window.partitionBy("key")
-    stars = nodes.select("fp", "id", F.explode(_variants(F.col("fp"))).alias("key")).withColumn("hub", F.min(F.struct("id", "fp")).over(group))
-    stars = stars.withColumn("hub_fp", F.col("hub.fp")).where((F.col("id") != F.col("hub.id")) & _near("fp", "hub_fp"))
-    stars = common.save(stars.select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct(), "stars")
-    named = nodes.join(common.components(stars), "id", "left").select("fp", "id", F.coalesce("component", "id").alias("c"))
-    rest = named.select("fp", "id", "c", F.explode(_variants(F.col("fp"))).alias("key"))
-    rest = rest.withColumn("low", F.min("c").over(group)).withColumn("high", F.max("c").over(group)).withColumn("n", F.count("*").over(group))
-    rest = common.save(rest.where("n > 2 and low < high").select("key", "fp", "id", "c"), "rest")  # of two members the star has seen both
-    left, right = (rest.select("key", *(F.col(x).alias(f"{x}_{side}") for x in ("fp", "id", "c"))) for side in "ab")
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("c_a") < F.col("c_b")) & _near("fp_a", "fp_b"))
-    links = stars.unionAll(across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).distinct()
-    return nodes.join(common.components(links), "id", "left").select("fp", "id", F.coalesce("component", "id").alias("component"))
+    whole = F.array(*(_segment(F.col("fp"), first, bits).bitwiseOR(F.lit(first << 32)) for first, bits in SEGMENTS))
+    members = nodes.select("fp", "id", F.explode(whole).alias("key"))
+    hubs = members.groupBy("key").agg(F.min(F.struct("id", "fp")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    hubs = common.save(hubs.select(F.col("key").alias("hub_key"), F.col("hub.id").alias("hub_id"), F.col("hub.fp").alias("hub_fp")), "hubs")
+    stars = members.join(hubs, F.col("key") == F.col("hub_key")).where((F.col("id") != F.col("hub_id")) & _near("fp", "hub_fp"))
+    stars = common.save(stars.select(F.col("id").alias("a"), F.col("hub_id").alias("b")).distinct(), "stars")
+    found = common.components(stars).select(F.col("id").alias("id2"), "component")
+    sizes = common.save(found.groupBy("component").agg(F.count("*").alias("n")).select(F.col("component").alias("c2"), "n"), "sizes")
+    found = found.join(common.maybe_broadcast(sizes), F.col("component") == F.col("c2")).select("id2", F.struct((-F.col("n")).alias("n"), F.col("component").alias("c")).alias("c"))
+    alone = F.struct(F.lit(-1).cast("long").alias("n"), F.col("id").alias("c"))  # the largest component comes first
+    named = common.save(nodes.join(found, F.col("id") == F.col("id2"), "left").select("fp", "id", F.coalesce("c", alone).alias("c")), "named")
+    keyed = named.repartition(parts, "fp").select("fp", "c", F.explode(_variants(F.col("fp"))).alias("key"))
+    split = keyed.groupBy("key").agg(F.min("c").alias("main"), F.max("c").alias("last")).where("main < last").select(F.col("key").alias("split_key"), "main")
+    rest = keyed.join(common.save(split, "split"), F.col("key") == F.col("split_key"))
+    rest = common.save(rest.select("key", "fp", F.col("c.c").alias("c"), (F.col("c") == F.col("main")).alias("in_main")), "rest")
+    left, right = (rest.select("key", "in_main", *(F.col(x).alias(f"{x}_{side}") for x in ("fp", "c"))) for side in "ab")
+    strangers = left.where("not in_main").drop("in_main")
+    # of two strangers the one with the smaller component is held against the other
+    across = strangers.join(right, (strangers["key"] == right["key"]) & (F.col("c_a") != F.col("c_b")) & (F.col("in_main") | (F.col("c_a") < F.col("c_b"))) & _near("fp_a", "fp_b"))
+    merged = common.components(across.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))).select(F.col("id").alias("c3"), "component")
+    merged = common.maybe_broadcast(common.save(merged, "merged"))
+    return named.join(merged, F.col("c.c") == F.col("c3"), "left").select("fp", "id", F.coalesce("component", "c.c").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row for each row of docs: id, fingerprint (16 hex digits), component_id, text_key, n_chars.
+    """One row for each row of docs: id, fingerprint (16 hex digits), component_id, text_key, n_chars, row_no (any number of its own).
 
     Null and empty texts have fingerprint zero, and are linked like any other. Equal fingerprints are one
     node whatever their number. Repeated rows and ids each get their row; a null id takes the component of
@@ -108,7 +125,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = common.save(fingerprints(docs, id_column, text_column), "fingerprints")
     linked = link(rows.where("id is not null").select("fp", "id"))
     found = rows.join(linked.select(F.col("fp").alias("fp2"), "component"), F.col("fp") == F.col("fp2"), "left")
-    return found.select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"), "text_key", "n_chars")
+    return found.select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"), "text_key", "n_chars", "row_no")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,10 +133,16 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest id; all rows without a component stay.
+    """One row of each component stays, that with the smallest id; rows without a component stay.
 
-    Texts of no shingle carry no evidence of being alike, yet they link like any other.
+    Of several rows with that id the first of each fingerprint stays: a repeated id doesn't make texts
+    alike. Texts of no shingle carry no evidence of being alike, yet they link like any other. Null ids
+    leave if an id is in their component; else they name none and stay.
     """
-    rows = near_duplicates(docs)
-    kept = F.col("id").eqNullSafe(F.col("component_id"))
+    rows = common.save(near_duplicates(docs), "near")
+    named = F.col("id").eqNullSafe(F.col("component_id"))
+    firsts = rows.where(named & F.col("id").isNotNull()).groupBy("component_id", "fingerprint").agg(F.count("*").alias("n"), F.min("row_no").alias("first")).where("n > 1")
+    firsts = common.save(firsts.select(F.col("component_id").alias("several"), F.col("fingerprint").alias("print"), "first"), "several")
+    rows = rows.join(common.maybe_broadcast(firsts), (F.col("component_id") == F.col("several")) & (F.col("fingerprint") == F.col("print")), "left")
+    kept = named & (F.col("first").isNull() | (F.col("row_no") == F.col("first")))
     return common.keep_rows(docs, common.save(rows.select("id", "text_key", kept.alias("kept")), "decisions"))
