@@ -19,7 +19,7 @@ BUDGET = 1.5
 #: How often the mix takes a document at most.
 EPOCHS = 2
 #: Rows that one task orders at about the most; a source, or a stretch of the queue, is cut into such parts by a hash or by time.
-PART_ROWS = 20_000
+PART_ROWS = 4_000
 
 
 def n_words(text: Column) -> Column:
@@ -65,7 +65,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     rows = docs.select(F.col(id_column).alias("id"), common.text_key(text_column).alias("text_key"), F.col(source_column).cast("string").alias("source"), n_words(common.text_of(text_column)).alias("size"), order.alias("turn"))
     rows = common.save(rows, "sizes")
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    bits = max(4, min(20, (max(n, 1) // PART_ROWS).bit_length() + 2))
+    bits = max(6, min(20, (max(n, 1) // PART_ROWS).bit_length() + 2))
     part = F.shiftright(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long"), 32 - bits)
     rows = rows.withColumn("part", part)
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -85,15 +85,21 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     turns = queued.where("size > 0").select("size", "place", "turn", "id", "reached", "target", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"), "source_size")
     time = F.try_divide(F.col("reached") + F.col("epoch") * F.col("source_size"), F.col("target"))
     turns = turns.where("target > 0").withColumn("time", time).withColumn("stretch", F.floor(F.least(F.col("time"), F.lit(1e6)) * F.lit(stretches)).cast("long"))
-    sums = turns.groupBy("stretch").agg(F.sum("size").alias("tokens"))
+    sums = turns.groupBy("stretch").agg(F.sum("size").alias("tokens"), F.count("*").alias("n"))
     sums = common.save(sums.withColumn("upto", F.sum("tokens").over(Window.orderBy("stretch"))), "stretches")
     # the stretch in which the budget runs out, and what the ones before it use
-    cut = sums.where(F.col("upto") > limit).agg(F.min(F.struct("stretch", F.expr("upto - tokens").alias("used"))).alias("c")).first()["c"]
+    cut = sums.where(F.col("upto") > limit).agg(F.min(F.struct("stretch", F.expr("upto - tokens").alias("used"), "n")).alias("c")).first()["c"]
     queue = F.struct("time", "place", "turn", "size", "id")
     if cut is None:
         last = None
     else:
-        edge = turns.where(F.col("stretch") == cut["stretch"]).withColumn("upto", F.lit(cut["used"]) + F.sum("size").over(Window.orderBy("time", "place", "turn", "size", "id")))
+        # many documents may end at one time: the stretch is sorted by ranges, and one of those is cut
+        order = ("time", "place", "turn", "size", "id")
+        ranges = -(-cut["n"] // PART_ROWS)
+        edge = common.save(turns.where(F.col("stretch") == cut["stretch"]).select(*order).repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "edge")
+        ends = edge.groupBy("range").agg(F.sum("size").alias("tokens")).withColumn("upto", F.lit(cut["used"]) + F.sum("tokens").over(Window.orderBy("range")))
+        at = ends.where(F.col("upto") > limit).agg(F.min(F.struct("range", F.expr("upto - tokens").alias("used"))).alias("c")).first()["c"]
+        edge = edge.where(F.col("range") == at["range"]).withColumn("upto", F.lit(at["used"]) + F.sum("size").over(Window.orderBy(*order)))
         last = edge.where(F.col("upto") > limit).agg(F.min(queue).alias("q")).first()["q"]
     copies = F.lit(0)
     for epoch in range(epochs):
@@ -112,16 +118,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    plan = mix(docs).groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows"))
-    plan = common.save(plan, "copies")
-    keyed = docs.withColumn("_text_key", common.text_key())
-    joined = keyed.join(common.maybe_broadcast(plan), keyed["doc_id"].eqNullSafe(plan["_id"]) & keyed["_text_key"].eqNullSafe(plan["_key"]))
-    joined = joined.where("_copies > 0")
-    single = joined.where("_rows = 1")
-    if not plan.where("_rows > 1").isEmpty():  # of rows equal in id and text one stands for all
-        single = single.unionByName(joined.where("_rows > 1").dropDuplicates(["doc_id", "_text_key"]))
-    return single.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Each document as often as the mix takes it; of rows equal in id and text one stands for all. Columns may have any names."""
+    plan = mix(docs).groupBy(F.col("id").alias("plan_id"), F.col("text_key").alias("plan_key")).agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("n"))
+    plan = common.save(plan.where("copies > 0"), "copies")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), common.text_key().alias("row_key"))
+    joined = rows.join(common.maybe_broadcast(plan), F.col("row_id").eqNullSafe(F.col("plan_id")) & F.col("row_key").eqNullSafe(F.col("plan_key")))
+    taken = joined.where("n = 1").select("row", "copies")
+    if not plan.where("n > 1").isEmpty():
+        taken = taken.unionByName(joined.where("n > 1").groupBy("row_id", "row_key").agg(F.first("row").alias("row"), F.first("copies").alias("copies")).select("row", "copies"))
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 SQL = r"""

@@ -25,7 +25,7 @@ from redactlake.llm import common
 CAPACITY = 2048
 END_ID = 0
 #: Pieces of one length that one task ranks, at about the most.
-PART_ROWS = 5_000
+PART_ROWS = 500
 #: Texts with more characters go to the tokenizers library, which needs no stack for them.
 LONG_TEXT = 1_000_000
 
