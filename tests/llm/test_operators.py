@@ -65,6 +65,16 @@ def test_chat_reads_back(spark, data):
     turns[-7] = [("user", hostile), ("assistant", hostile)]
     got = {r.conv_id: tuple(r)[1:5] for r in chat.op1_chat_format(spark, data).collect()}
     assert got == {c: digest_of(t) for c, t in turns.items()}
+    rows = spark.read.parquet(f"{data}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    made = defaultdict(list)
+    for r in chat.format_conversations(rows).where("example is not null").collect():
+        made[r.conv_id].append(r)
+    assert len(made) > 10
+    render = lambda ts: "".join(chat.OPEN + chat.escape(role) + chat.ROLE_END + chat.escape(text) + chat.CLOSE for role, text in ts)
+    for conv, examples in made.items():
+        replies = [i for i, (role, _) in enumerate(turns[conv]) if role == "assistant"]
+        assert [r.text for r in examples] == [render(turns[conv][: i + 1]) for i in replies]
+        assert [chat.unescape(r.text[r.loss_start : r.loss_end]) for r in examples] == [turns[conv][i][1] for i in replies]
 
 
 @pytest.mark.parametrize("text", ["", "\\", "\\[INST]", "<</s>", "[INST", "<s></s>[INST][/INST]", "a\\\\<s", "é\n</s", "[/INST] [INST"])
@@ -77,11 +87,12 @@ def test_chat_escape_is_reversible(text):
 def test_chat_edges(spark):
     rows = [(1, 0, "system", None), (1, 1, "assistant", "A"), (1, 2, "assistant", ""), (1, 3, "user", "t"), (2, None, None, "x"), (None, 0, "assistant", "n"), (3, 1, "user", "b"), (3, 1, "assistant", "a"), (3, 1, "user", "b")]
     turns = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, seq string")
-    pieces = chat.format_conversations(turns)
-    got = {r.conv_id: (r.n_turns, r.loss_chars, r.n_examples) for r in chat.read_back(pieces).collect()}
+    made = chat.format_conversations(turns)
+    got = {r.conv_id: (r.n_turns, r.loss_chars, r.n_examples) for r in chat.read_back(made).collect()}
     assert got == {1: (4, 1, 2), 2: (1, 0, 0), None: (1, 1, 1), 3: (3, 1, 1)}
-    examples = {(r.conv_id, r.example): r for r in chat.written_out(pieces).collect()}
-    assert len(examples) == 4
+    assert sorted(map(repr, chat.digests(turns).collect())) == sorted(map(repr, chat.read_back(made).collect()))
+    examples = {(r.conv_id, r.example): r for r in made.collect()}
+    assert len(examples) == 7 and examples[2, None].loss_start is None and examples[1, None].text == "<s>[INST] user [/INST]t</s>"
     second = examples[1, 1]
     assert second.text == "<s>[INST] system [/INST]</s><s>[INST] assistant [/INST]A</s><s>[INST] assistant [/INST]</s>"
     first = examples[1, 0]
@@ -137,9 +148,37 @@ def test_nearest_recall_and_order(spark, data):
         assert r.rank == len(got[r.query_id]) + 1 and r.vec_id != r.query_id
         assert abs(r.score - np.sum(np.array(vectors[r.query_id]) * np.array(vectors[r.vec_id]))) < 1e-12
         got[r.query_id].append((-r.score, r.vec_id))
-    assert all(v == sorted(v) and len(v) == 20 for v in got.values())
+    assert all(v == sorted(v) and len(v) <= 20 for v in got.values())
     assert set(got) == set(want)
-    assert np.mean([len({i for _, i in got[q]} & set(want[q])) / 20 for q in want]) >= 0.9
+    assert np.mean([len({i for _, i in got[q]} & set(want[q])) / 20 for q in want]) >= 0.95
+
+
+def test_nearest_recall_on_more_vectors(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    ids, vectors = zip(*((r.vec_id, r.embedding) for r in table.collect()), strict=True)
+    ids, vectors = np.array(ids), np.array(vectors, np.float64)
+    got = defaultdict(set)
+    for r in nearest.op3_nearest(spark, "/root/testdata/sf0.1").collect():
+        got[r.query_id].add(r.vec_id)
+    share = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        share.append(len(got[ids[q]] & set(ids[np.argsort(-scores)[:20]].tolist())) / 20)
+    assert len(share) >= 100 and np.mean(share) >= 0.95
+
+
+@pytest.mark.parametrize("size", [1e-170, 1e-30, 1e150])
+def test_nearest_of_any_norm(spark, size):
+    rng = np.random.default_rng(8)
+    vectors = rng.standard_normal((120, 8))
+    vectors[0] *= size  # a query among others of a common norm
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in nearest.nearest(table, F.col("vec_id") == 0).orderBy("rank").collect()]
+    want = sorted(range(1, 120), key=lambda i: -float(vectors[i] @ (vectors[0] / size)))[:20]
+    assert len(set(got) & set(want)) >= 18
+    alike = spark.createDataFrame([(i, v) for i, v in enumerate((vectors[1:] * size).tolist())], "vec_id long, embedding array<double>")
+    assert nearest.nearest(alike, F.col("vec_id") % 20 == 0).groupBy("query_id").count().where("count >= 18").count() == 6
 
 
 def test_nearest_edges(spark):
@@ -442,6 +481,15 @@ def test_mixing_edges(spark):
     assert mixing.mix(docs_of(spark, [(1, None), (2, " ")])).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_mixing_cuts_a_stretch_that_many_end_in(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_ROWS", 7)
+    docs = spark.createDataFrame([(i, " ".join(["w"] * (1 + i % 3)), f"s{i:03}") for i in range(300)], "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = {r[0]: r[4] for r in con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.SQL})").fetchall()}
+    assert {r.id: r.taken for r in mixing.mix(docs).collect()} == want
+
+
 def test_mixing_comes_near_its_targets(spark, documents):
     rows = mixing.mix(docs_of(spark, documents)).collect()
     source = {d: s for d, _, _, s in documents}
