@@ -81,8 +81,9 @@ def link(prints: DataFrame) -> DataFrame:
     """(fp, id, component) for each distinct fp in prints(fp, id), id being its smallest one.
 
     First each fingerprint is held against the smallest one that shares a whole segment. Then, with the
-    components of these links known, variants are indexed. In a group of one variant all members but those
-    of its largest component are held against all others: of two members of different components one is
+    components of these links known, variants are indexed. A group of two members is settled where it is
+    counted. In a larger group of one variant all members but those of its largest component are held
+    against all others: of two members of different components one is
     among the former, so no link between components is lost, and links inside one can't change the result.
     A ball of near copies, however large, costs as many comparisons as it has members for each stranger in
     its group. Groups are aggregated before the shuffle and then joined, so the adaptive skew join splits
@@ -102,14 +103,18 @@ def link(prints: DataFrame) -> DataFrame:
     alone = F.struct(F.lit(-1).cast("long").alias("n"), F.col("id").alias("c"))  # the largest component comes first
     named = common.save(nodes.join(found, F.col("id") == F.col("id2"), "left").select("fp", "id", F.coalesce("c", alone).alias("c")), "named")
     keyed = named.repartition(parts, "fp").select("fp", "c", F.explode(_variants(F.col("fp"))).alias("key"))
-    split = keyed.groupBy("key").agg(F.min("c").alias("main"), F.max("c").alias("last")).where("main < last").select(F.col("key").alias("split_key"), "main")
-    rest = keyed.join(common.save(split, "split"), F.col("key") == F.col("split_key"))
+    member = F.struct("c", "fp")
+    groups = keyed.groupBy("key").agg(F.min(member).alias("main"), F.max(member).alias("last"), F.count("*").alias("n")).where("main.c < last.c")
+    groups = common.save(groups.where((F.col("n") > 2) | _near("main.fp", "last.fp")), "groups")
+    pairs = groups.where("n = 2").select(F.col("main.c.c").alias("a"), F.col("last.c.c").alias("b"))  # the aggregate holds both members
+    split = groups.where("n > 2").select(F.col("key").alias("split_key"), F.col("main.c").alias("main"))
+    rest = keyed.join(split, F.col("key") == F.col("split_key"))
     rest = common.save(rest.select("key", "fp", F.col("c.c").alias("c"), (F.col("c") == F.col("main")).alias("in_main")), "rest")
     left, right = (rest.select("key", "in_main", *(F.col(x).alias(f"{x}_{side}") for x in ("fp", "c"))) for side in "ab")
     strangers = left.where("not in_main").drop("in_main")
     # of two strangers the one with the smaller component is held against the other
     across = strangers.join(right, (strangers["key"] == right["key"]) & (F.col("c_a") != F.col("c_b")) & (F.col("in_main") | (F.col("c_a") < F.col("c_b"))) & _near("fp_a", "fp_b"))
-    merged = common.components(across.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))).select(F.col("id").alias("c3"), "component")
+    merged = common.components(pairs.unionAll(across.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))).select(F.col("id").alias("c3"), "component")
     merged = common.maybe_broadcast(common.save(merged, "merged"))
     return named.join(merged, F.col("c.c") == F.col("c3"), "left").select("fp", "id", F.coalesce("component", "c.c").alias("component"))
 
