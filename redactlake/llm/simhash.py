@@ -78,7 +78,7 @@ def _near(a: str, b: str) -> Column:
 
 
 def link(prints: DataFrame) -> DataFrame:
-    """(fp, id, component) for each distinct fp in prints(fp, id), id being its smallest one.
+    """(fp, component) for each distinct fp in prints(fp, id).
 
     First each fingerprint is held against the smallest one that shares a whole segment. Then, with the
     components of these links known, variants are indexed. A group of two members is settled where it is
@@ -98,25 +98,23 @@ def link(prints: DataFrame) -> DataFrame:
     stars = members.join(hubs, F.col("key") == F.col("hub_key")).where((F.col("id") != F.col("hub_id")) & _near("fp", "hub_fp"))
     stars = common.save(stars.select(F.col("id").alias("a"), F.col("hub_id").alias("b")).distinct(), "stars")
     found = common.components(stars).select(F.col("id").alias("id2"), "component")
-    sizes = common.save(found.groupBy("component").agg(F.count("*").alias("n")).select(F.col("component").alias("c2"), "n"), "sizes")
-    found = found.join(common.maybe_broadcast(sizes), F.col("component") == F.col("c2")).select("id2", F.struct((-F.col("n")).alias("n"), F.col("component").alias("c")).alias("c"))
-    alone = F.struct(F.lit(-1).cast("long").alias("n"), F.col("id").alias("c"))  # the largest component comes first
-    named = common.save(nodes.join(found, F.col("id") == F.col("id2"), "left").select("fp", "id", F.coalesce("c", alone).alias("c")), "named")
+    named = common.save(nodes.join(found, F.col("id") == F.col("id2"), "left").select("fp", F.coalesce("component", "id").alias("c")), "named")
     keyed = named.repartition(parts, "fp").select("fp", "c", F.explode(_variants(F.col("fp"))).alias("key"))
-    member = F.struct("c", "fp")
-    groups = keyed.groupBy("key").agg(F.min(member).alias("main"), F.max(member).alias("last"), F.count("*").alias("n")).where("main.c < last.c")
-    groups = common.save(groups.where((F.col("n") > 2) | _near("main.fp", "last.fp")), "groups")
-    pairs = groups.where("n = 2").select(F.col("main.c.c").alias("a"), F.col("last.c.c").alias("b"))  # the aggregate holds both members
-    split = groups.where("n > 2").select(F.col("key").alias("split_key"), F.col("main.c").alias("main"))
-    rest = keyed.join(split, F.col("key") == F.col("split_key"))
-    rest = common.save(rest.select("key", "fp", F.col("c.c").alias("c"), (F.col("c") == F.col("main")).alias("in_main")), "rest")
+    groups = keyed.groupBy("key").agg(F.min("fp").alias("fp_a"), F.max("fp").alias("fp_b"), F.min("c").alias("c_a"), F.max("c").alias("c_b"), F.count("*").alias("n"))
+    groups = common.save(groups.where((F.col("c_a") < F.col("c_b")) & ((F.col("n") > 2) | _near("fp_a", "fp_b"))), "groups")
+    pairs = groups.where("n = 2").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))  # the aggregate holds both members
+    rest = common.save(keyed.join(common.maybe_broadcast(groups.where("n > 2").select(F.col("key").alias("split_key"))), F.col("key") == F.col("split_key")).drop("split_key"), "rest")
+    most = rest.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"))
+    most = common.save(most.select(F.col("key").alias("split_key"), F.col("most.c").alias("main")), "most")
+    rest = rest.join(common.maybe_broadcast(most), F.col("key") == F.col("split_key")).select("key", "fp", "c", (F.col("c") == F.col("main")).alias("in_main"))
+    rest = common.save(rest, "members")
     left, right = (rest.select("key", "in_main", *(F.col(x).alias(f"{x}_{side}") for x in ("fp", "c"))) for side in "ab")
     strangers = left.where("not in_main").drop("in_main")
     # of two strangers the one with the smaller component is held against the other
     across = strangers.join(right, (strangers["key"] == right["key"]) & (F.col("c_a") != F.col("c_b")) & (F.col("in_main") | (F.col("c_a") < F.col("c_b"))) & _near("fp_a", "fp_b"))
     merged = common.components(pairs.unionAll(across.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))).select(F.col("id").alias("c3"), "component")
     merged = common.maybe_broadcast(common.save(merged, "merged"))
-    return named.join(merged, F.col("c.c") == F.col("c3"), "left").select("fp", "id", F.coalesce("component", "c.c").alias("component"))
+    return named.join(merged, F.col("c") == F.col("c3"), "left").select("fp", F.coalesce("component", "c").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
