@@ -56,6 +56,11 @@ def format_error(content: Column) -> Column:
     return F.when(detect_format(content).isNull(), F.lit("unsupported file: expected one of " + ", ".join(FORMATS)))
 
 
+def require_format(content: Column) -> Column:
+    """jpeg, png or webp; the query fails on anything else."""
+    return F.when(format_error(content).isNull(), detect_format(content)).otherwise(F.raise_error(format_error(content)))
+
+
 def mime_type(form: Column) -> Column:
     out = None
     for name, mime in MIME.items():

@@ -11,27 +11,28 @@ from pyspark.sql import functions as F
 
 from redactlake.functions import text as T
 from redactlake.functions.geometry import MAX_RASTER_PAGES
+from redactlake.operators.verify import has_text_layer
 
 INFO_KEYS = ("Title", "Author", "Subject", "Keywords", "Producer", "Creator")
 DATE_KEYS = ("Created", "Modified")
 #: id, severity, category and title of findings that count objects, in order; all are emitted only above zero.
 COUNTED = (
-    ("xmp", "medium", "xmp", "XMP metadata packet"),
-    ("annots", "high", "annotation", "Annotations / form fields"),
-    ("links", "medium", "annotation", "Hyperlinks"),
-    ("attachments", "high", "attachment", "Embedded file attachments"),
-    ("javascript", "high", "javascript", "Embedded JavaScript"),
-    ("exif", "high", "metadata", "Photo (EXIF/GPS) data in an image"),
-    ("pieceinfo", "medium", "structure", "Application page-piece data"),
-    ("ocg", "medium", "structure", "Optional content layers"),
+    ("xmp", "medium", "xmp", "XMP packets"),
+    ("annots", "high", "annotation", "Annotations other than links"),
+    ("links", "medium", "annotation", "Link annotations"),
+    ("attachments", "high", "attachment", "Attached files"),
+    ("javascript", "high", "javascript", "Scripts"),
+    ("exif", "high", "metadata", "Images that carry EXIF"),
+    ("pieceinfo", "medium", "structure", "Private data of applications"),
+    ("ocg", "medium", "structure", "Layers"),
 )
-ENCRYPTED = ("encrypted", "high", "structure", "Password or permission protected")
+ENCRYPTED = ("encrypted", "high", "structure", "Encryption dictionary present; contents not audited")
 
 
 def info_findings(info: DataFrame) -> DataFrame:
     """(doc, id, severity, category, title, detail) of info(doc, Title, ..., Created, Modified): strings that aren't blank, dates in UTC."""
-    pairs = [F.struct(F.lit(f"meta-{k}").alias("id"), F.lit(f"{k} metadata").alias("title"), F.when(~T.is_blank(F.col(k)), F.col(k)).alias("detail")) for k in INFO_KEYS if k in info.columns]
-    pairs += [F.struct(F.lit(f"date-{k}").alias("id"), F.lit(f"{k} date").alias("title"), F.date_format(F.col(k), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("detail")) for k in DATE_KEYS if k in info.columns]
+    pairs = [F.struct(F.lit(f"meta-{k}").alias("id"), F.lit(f"Information entry {k}").alias("title"), F.when(~T.is_blank(F.col(k)), F.col(k)).alias("detail")) for k in INFO_KEYS if k in info.columns]
+    pairs += [F.struct(F.lit(f"date-{k}").alias("id"), F.lit(f"Date {k}").alias("title"), F.date_format(F.col(k), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("detail")) for k in DATE_KEYS if k in info.columns]
     rows = info.select("doc", F.explode(F.array(*pairs)).alias("p")).where("p.detail is not null")
     return rows.select("doc", "p.id", F.lit("medium").alias("severity"), F.lit("metadata").alias("category"), "p.title", "p.detail")
 
@@ -73,6 +74,18 @@ def count_findings(counts: DataFrame, encrypted: Column | None = None) -> DataFr
     return counts.select("doc", F.posexplode(made).alias("ord", "f")).select("doc", "ord", "f.*")
 
 
+def audit(counts: DataFrame, pages: DataFrame, encrypted: Column | None = None) -> DataFrame:
+    """(doc, findings, has_text): a document's structure findings in order, and whether it has a text layer.
+
+    counts is what object_counts() gives, pages(doc, page, text) the text of pages; a document of either is listed.
+    """
+    found = count_findings(counts, encrypted).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "severity", "n"))).alias("findings"))  # at most one of each kind
+    docs = counts.select("doc").unionByName(pages.select("doc")).distinct()
+    joined = docs.join(found, "doc", "left").join(has_text_layer(pages), "doc", "left")
+    empty = F.array().cast("array<struct<ord:int,id:string,severity:string,n:bigint>>")
+    return joined.select("doc", F.coalesce("findings", empty).alias("findings"), F.coalesce("has_text", F.lit(False)).alias("has_text"))
+
+
 def uses_dct(filters: Column) -> Column:
     return F.coalesce(F.array_contains(filters, "DCTDecode"), F.lit(False))
 
@@ -140,6 +153,50 @@ def collect_garbage(objects: DataFrame, edges: DataFrame, roots: DataFrame, chec
     return objects.join(alive, (F.col("doc") == F.col("_doc")) & (F.col("obj") == F.col("_obj")), "left_semi").unionByName(rootless)
 
 
+def unreachable(objects: DataFrame, edges: DataFrame, roots: DataFrame, checkpoint=None) -> DataFrame:
+    """(doc, obj) that nothing leads to, of documents that have a root."""
+    alive = collect_garbage(objects, edges, roots, checkpoint)
+    return objects.select("doc", "obj").exceptAll(alive.select("doc", "obj"))
+
+
+def strip_all(objects: DataFrame, edges: DataFrame, info: DataFrame, roots: DataFrame, checkpoint=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(objects, edges, info) after the whole strip, in a fixed order: information, edges, then garbage, which the edges decide.
+
+    Typed counts of the result are read from the objects that are left, whose keys lose what was stripped.
+    """
+    kept_edges = strip_edges(objects, edges)
+    alive = collect_garbage(objects, kept_edges, roots, checkpoint)
+    gone = F.array().cast("array<string>")
+    for kind, keys in STRIPPED_KEYS.items():
+        gone = F.when(F.col("type") == kind, F.array(*map(F.lit, keys))).otherwise(gone)
+    gone = F.when(F.col("kind") == "stream", F.array_union(gone, F.array(F.lit("Metadata")))).otherwise(gone)
+    if "keys" in objects.columns:
+        alive = alive.withColumn("keys", F.array_except("keys", gone))
+    ends = alive.select(F.col("doc").alias("_doc"), F.col("obj").alias("_obj"))
+    kept_edges = kept_edges.join(ends, (F.col("doc") == F.col("_doc")) & (F.col("src") == F.col("_obj")), "left_semi")
+    return alive, kept_edges, strip_info(info)
+
+
+def without_rect(rects: DataFrame, rect_id) -> DataFrame:
+    """rects but the one of that id."""
+    return rects.where(~F.col("rect_id").eqNullSafe(F.lit(rect_id)))
+
+
+def redaction_plan(pages: DataFrame, rects: DataFrame, encrypted: DataFrame | None = None) -> DataFrame:
+    """(doc, page, route, error): how each page is rebuilt, or why its document is refused.
+
+    A document is refused if it is in encrypted(doc), or if over 300 of its pages would become images; one
+    without a rectangle is copied page by page.
+    """
+    out = page_routing(pages, rects).join(export_guard(rects).select("doc", F.col("error").alias("too_many")), "doc", "left")
+    if encrypted is None:
+        return out.select("doc", "page", F.when(F.col("too_many").isNull(), F.col("route")).alias("route"), F.col("too_many").alias("error"))
+    locked = encrypted.select("doc").distinct().withColumn("locked", F.lit(True))
+    out = out.join(locked, "doc", "left")
+    error = F.when(F.col("locked"), "encrypted").otherwise(F.col("too_many"))
+    return out.select("doc", "page", F.when(error.isNull(), F.col("route")).alias("route"), error.alias("error"))
+
+
 def page_routing(pages: DataFrame, rects: DataFrame) -> DataFrame:
     """(doc, page, route): raster for pages with a rectangle, copy for the others."""
     marked = rects.select("doc", "page").distinct().withColumn("_hit", F.lit(True))
@@ -149,7 +206,7 @@ def page_routing(pages: DataFrame, rects: DataFrame) -> DataFrame:
 def export_guard(rects: DataFrame) -> DataFrame:
     """(doc, pages, error): documents with over 300 pages to flatten are refused."""
     n = rects.groupBy("doc").agg(F.count_distinct("page").alias("pages"))
-    return n.withColumn("error", F.when(F.col("pages") > MAX_RASTER_PAGES, F.concat(F.lit("This export would flatten "), F.col("pages").cast("string"), F.lit(" pages to images"))))
+    return n.withColumn("error", F.when(F.col("pages") > MAX_RASTER_PAGES, F.concat(F.col("pages").cast("string"), F.lit(f" pages to rasterise, limit {MAX_RASTER_PAGES}"))))
 
 
 def apply_to_all_pages(pages: DataFrame, rects: DataFrame, current: int) -> DataFrame:

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from redactlake.functions import text as T
 
-#: Terms without a word can't be looked up by one; so many at most are held against every page.
-MOST_BROADCAST = 10_000
-
-
 def wanted_terms(terms: DataFrame) -> DataFrame:
     """Trimmed, not blank, each once: (term)."""
     return terms.select(T.trim(F.col("term")).alias("term")).where(F.length("term") > 0).distinct()
@@ -20,19 +16,19 @@ def occurrences(pages: DataFrame, terms: DataFrame, by: list[str]) -> DataFrame:
     """(by..., term) where a page's text has the term as whole words. pages(by..., text), terms(term).
 
     A regular expression can't be joined on, so pages meet terms by the term's longest word, which any page
-    with the term has as a word of its own; the expression then decides. Words of terms are few, so pages'
-    words that no term has are dropped by the join before the texts are read again.
+    with the term has as a word of its own. That join has words and keys alone; texts join the pairs that
+    are left, where the term has to be contained literally before the expression decides. Terms without a
+    word are as many as there are distinct ones; each is looked for by its first character.
     """
-    flat_terms = terms.select("term", T.flat(F.col("term")).alias("flat_term")).withColumn("token", T.longest_token(F.col("flat_term")))
+    flat_terms = terms.select("term", T.flat(F.col("term")).alias("flat_term")).withColumn("token", F.coalesce(T.longest_token(F.col("flat_term")), F.substring("flat_term", 1, 1)))
     flat_pages = pages.select(*by, T.flat(F.col("text")).alias("flat_text"))
-    with_word = flat_terms.where("token is not null")
-    found = flat_pages.withColumn("token", F.explode(T.tokens(F.col("flat_text")))).join(with_word, "token").where(T.survives(F.col("flat_text"), F.col("flat_term")))
-    wordless = flat_terms.where("token is null")
-    if not wordless.isEmpty():
-        few = wordless.limit(MOST_BROADCAST + 1)
-        if few.count() > MOST_BROADCAST:
-            raise ValueError(f"over {MOST_BROADCAST} terms have no word")
-        found = found.select(*by, "term").unionByName(flat_pages.join(F.broadcast(few), F.contains("flat_text", "flat_term")).where(T.survives(F.col("flat_text"), F.col("flat_term"))).select(*by, "term"))
+    signs = F.array_distinct(F.regexp_extract_all(F.col("flat_text"), F.lit(f"([^{T.WORD[1:-1]}])"), F.lit(1)))
+    words = flat_pages.select(*by, F.explode(F.concat(T.tokens(F.col("flat_text")), signs)).alias("token"))
+    met = words.join(flat_terms, "token").select(*(F.col(c).alias(f"_{c}") for c in by), "term", "flat_term").distinct()
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    found = flat_pages.join(met, same).where(F.contains("flat_text", "flat_term") & T.survives(F.col("flat_text"), F.col("flat_term")))
     return found.select(*by, "term")
 
 
@@ -98,13 +94,15 @@ def match_spans(placed: DataFrame, needle: str) -> DataFrame:
     placed is what haystack_offsets() gives. A page's matches come from its text as a whole, without
     overlap; then each run is compared with the matches of its own page only.
     """
-    flat = T.flat(F.lit(needle))
-    chars = F.array_sort(F.collect_list(F.struct("start", F.lower("str").alias("s"))))
-    # a run that starts later than the text so far is preceded by one space
-    whole = F.aggregate(chars, F.lit(""), lambda text, r: F.concat(text, F.when(r["start"] > F.length(text), " ").otherwise(""), r["s"]))
-    pages = placed.groupBy("doc", "page").agg(whole.alias("hay")).withColumn("needle", flat).where((F.length("needle") > 0) & F.contains("hay", "needle"))
+    runs = F.array_sort(F.collect_list(F.struct("start", F.length("str").alias("n"), F.lower("str").alias("s"))))
+    # a run that starts behind the end of the one before is preceded by one space
+    end = lambda i: F.when(i == 0, 0).otherwise(F.col("runs")[i - 1]["start"] + F.col("runs")[i - 1]["n"])
+    pieces = F.transform(F.col("runs"), lambda r, i: F.concat(F.when(r["start"] > end(i), " ").otherwise(""), r["s"]))
+    pages = placed.groupBy("doc", "page").agg(runs.alias("runs")).select("doc", "page", F.array_join(pieces, "").alias("hay"), T.flat(F.lit(needle)).alias("needle"))
+    pages = pages.where((F.length("needle") > 0) & F.contains("hay", "needle"))
     parts = F.split(F.col("hay"), F.concat(F.lit(r"\Q"), F.col("needle"), F.lit(r"\E")), -1)
-    ends = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array().cast("array<int>"), lambda out, part: F.concat(out, F.array(F.coalesce(F.try_element_at(out, F.lit(-1)), -F.length("needle")) + F.length("needle") + F.length(part))))
-    matches = pages.select("doc", "page", F.explode(ends).alias("match_start"), F.length("needle").alias("n"))
+    before = pages.select("doc", "page", F.length("needle").alias("n"), F.size(parts).alias("parts"), F.posexplode(F.transform(parts, F.length)).alias("i", "length"))
+    so_far = F.sum("length").over(Window.partitionBy("doc", "page").orderBy("i"))
+    matches = before.withColumn("match_start", (so_far + F.col("i") * F.col("n")).cast("int")).where("i < parts - 1").select("doc", "page", "match_start", "n")
     joined = placed.join(matches, ["doc", "page"]).withColumn("a", F.greatest("match_start", "start")).withColumn("b", F.least(F.col("match_start") + F.col("n"), F.col("start") + F.length("str")))
     return joined.where("a < b").select("doc", "page", "seq", "match_start", (F.col("a") - F.col("start")).alias("from_char"), (F.col("b") - F.col("start")).alias("to_char"))

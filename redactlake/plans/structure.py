@@ -11,9 +11,9 @@ from redactlake.plans.registry import query, table
 @query(
     "q_info_findings",
     """WITH i AS (SELECT s_suppkey AS doc, s_name AS t, CASE WHEN s_suppkey % 3 = 0 THEN '  ' ELSE 'Author ' || s_nationkey END AS a FROM supplier)
-    SELECT doc, 'meta-Title' AS id, 'Title metadata' AS title, t AS detail FROM i UNION ALL
-    SELECT doc, 'meta-Author', 'Author metadata', a FROM i WHERE trim(a) <> '' UNION ALL
-    SELECT doc, 'date-Created', 'Created date', strftime(TIMESTAMP '2024-01-01' + to_seconds(doc * 3600), '%Y-%m-%dT%H:%M:%S.000Z') FROM i WHERE doc % 5 <> 0""",
+    SELECT doc, 'meta-Title' AS id, 'Information entry Title' AS title, t AS detail FROM i UNION ALL
+    SELECT doc, 'meta-Author', 'Information entry Author', a FROM i WHERE trim(a) <> '' UNION ALL
+    SELECT doc, 'date-Created', 'Date Created', strftime(TIMESTAMP '2024-01-01' + to_seconds(doc * 3600), '%Y-%m-%dT%H:%M:%S.000Z') FROM i WHERE doc % 5 <> 0""",
 )
 def info_findings(spark, sf_dir):
     key = F.col("s_suppkey")
@@ -32,12 +32,45 @@ _N = "len(regexp_extract_all(html, '{0}'))"
     f"""SELECT doc, id, n FROM (SELECT page_id AS doc, unnest([{{'id': 'xmp', 'n': {_N.format("<meta")}}}, {{'id': 'annots', 'n': {_N.format("<!--")}}}, {{'id': 'links', 'n': {_N.format("<a ")}}}, {{'id': 'javascript', 'n': {_N.format("<script")}}}, {{'id': 'ocg', 'n': {_N.format("<style")}}}], recursive := true) FROM pages) WHERE n > 0""",
 )
 def finding_counts(spark, sf_dir):
+    return D.count_findings(D.object_counts(_tag_objects(spark, sf_dir))).select("doc", "id", "n")
+
+
+def _tag_objects(spark, sf_dir):
     """Tags of web pages as typed objects of a document."""
     found = F.regexp_extract_all("html", F.lit(r"(<script|<!--|<meta|<a |<style)"), F.lit(1))
     tags = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc"), F.posexplode(found).alias("obj", "tag"))
     kind = F.when(F.col("tag").isin("<!--", "<a "), "Annot").when(F.col("tag") == "<meta", "Metadata").when(F.col("tag") == "<style", "OCG")
-    objects = tags.select("doc", "obj", F.lit("dict").alias("kind"), kind.alias("type"), F.when(F.col("tag") == "<a ", "Link").alias("subtype"), F.when(F.col("tag") == "<script", F.array(F.lit("JS"))).otherwise(F.array().cast("array<string>")).alias("keys"))
-    return D.count_findings(D.object_counts(objects)).select("doc", "id", "n")
+    return tags.select("doc", "obj", F.lit("dict").alias("kind"), kind.alias("type"), F.when(F.col("tag") == "<a ", "Link").alias("subtype"), F.when(F.col("tag") == "<script", F.array(F.lit("JS"))).otherwise(F.array().cast("array<string>")).alias("keys"))
+
+
+_HAS = "CASE WHEN contains(html, '{0}') THEN '{1}' END"
+
+
+@query("q_audit", f"SELECT page_id AS doc, concat_ws(',', {', '.join(_HAS.format(t, i) for t, i in (('<meta', 'xmp'), ('<!--', 'annots'), ('<a ', 'links'), ('<script', 'javascript'), ('<style', 'ocg')))}) AS findings, length(regexp_replace(html, '<[^>]*>|[[:space:]]', '', 'g')) > 0 AS has_text FROM pages")
+def audit(spark, sf_dir):
+    """Structure findings of web pages, and whether text is left without their tags."""
+    texts = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc"), F.lit(0).alias("page"), F.regexp_replace("html", r"<[^>]*>", "").alias("text"))
+    found = D.audit(D.object_counts(_tag_objects(spark, sf_dir)), texts)
+    return found.select("doc", F.array_join(F.transform("findings", lambda f: f["id"]), ",").alias("findings"), "has_text")
+
+
+_ALL_KEYS = ("Metadata", "AcroForm", "OpenAction", "AA", "AF", "PieceInfo", "Annots", "JavaScript", "EmbeddedFiles", "Kids", "Contents")
+_STRIP_SQL = " OR ".join(f"(type = '{kind}' AND key IN ({', '.join(map(repr, keys))}))" for kind, keys in (("Catalog", ("Metadata", "AcroForm", "OpenAction", "AA", "AF", "PieceInfo")), ("Page", ("Annots", "Metadata", "AA", "PieceInfo")), ("Names", ("JavaScript", "EmbeddedFiles"))))
+
+
+@query(
+    "q_strip_keys",
+    f"""SELECT src, key, type FROM (SELECT p_partkey AS src, unnest({list(_ALL_KEYS)}) AS key, {list(("Catalog", "Page", "Names", "Other"))}[p_partkey % 4 + 1] AS type, p_partkey % 3 = 0 AS stream FROM part) WHERE NOT ({_STRIP_SQL} OR (stream AND key = 'Metadata'))""",
+)
+def strip_keys(spark, sf_dir):
+    """Every key that a strip knows, and two that it doesn't, under each type of object."""
+    key = F.col("p_partkey")
+    kind = F.element_at(F.array(*map(F.lit, ("Catalog", "Page", "Names", "Other"))), (key % 4 + 1).cast("int"))
+    part = table(spark, sf_dir, "part")
+    objects = part.select(F.lit(1).alias("doc"), key.alias("obj"), F.when(key % 3 == 0, "stream").otherwise("dict").alias("kind"), kind.alias("type"))
+    edges = part.select(F.lit(1).alias("doc"), key.alias("src"), F.lit(0).alias("dst"), F.explode(F.array(*map(F.lit, _ALL_KEYS))).alias("key"))
+    left = D.strip_edges(objects, edges)
+    return left.join(objects.select(F.col("obj").alias("src"), "type"), "src").select("src", "key", "type")
 
 
 @query("q_inline_annotations", "SELECT o_custkey AS doc, count(DISTINCT o_orderkey) FILTER (WHERE o_orderstatus <> 'F') AS annots, count(DISTINCT o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS links FROM orders GROUP BY o_custkey")
@@ -89,6 +122,27 @@ def gc_reachable(spark, sf_dir):
     return kept.groupBy("doc").agg(F.count("*").alias("kept"), F.sum("obj").alias("keys"))
 
 
+@query(
+    "q_strip_all",
+    f"""WITH RECURSIVE a AS ({_EDGES}), e AS (SELECT a.* FROM a JOIN (SELECT p_partkey, {_TYPE} AS type FROM part) o ON o.p_partkey = a.src WHERE NOT ((type = 'Catalog' AND key IN ('Metadata', 'AA')) OR (type = 'Page' AND key IN ('Annots', 'Metadata', 'AA')) OR (a.src % 4 = 0 AND key = 'Metadata'))),
+    r(doc, obj) AS (SELECT p_partkey // 50, p_partkey FROM part WHERE p_partkey % 50 = 0 UNION SELECT e.doc, e.dst FROM r JOIN e ON e.doc = r.doc AND e.src = r.obj),
+    k AS (SELECT p_partkey // 50 AS doc, p_partkey AS obj FROM part JOIN r ON r.obj = p_partkey)
+    SELECT k.doc, count(*) AS objects, sum(obj)::BIGINT AS keys, (SELECT count(*) FROM e WHERE e.doc = k.doc AND e.src IN (SELECT obj FROM k))::BIGINT AS edges FROM k GROUP BY k.doc""",
+)
+def strip_all(spark, sf_dir):
+    objects, edges, roots = _graph(spark, sf_dir)
+    info = roots.select("doc", F.lit("t").alias("Title"))
+    kept, left, _ = D.strip_all(objects, edges, info, roots, _keep(spark))
+    counts = left.groupBy("doc").agg(F.count("*").alias("edges"))
+    return kept.groupBy("doc").agg(F.count("*").alias("objects"), F.sum("obj").alias("keys")).join(counts, "doc", "left").select("doc", "objects", "keys", F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
+@query("q_uses_dct", "SELECT p_partkey, p_partkey % 4 IN (1, 2) AS dct FROM part")
+def uses_dct(spark, sf_dir):
+    filters = F.element_at(F.array(*(F.array(*map(F.lit, f)) for f in (("FlateDecode",), ("DCTDecode",), ("FlateDecode", "DCTDecode")))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", D.uses_dct(F.when(F.col("p_partkey") % 4 < 3, filters)).alias("dct"))
+
+
 _SIZES = "SELECT p_type AS category, p_partkey AS file, p_retailprice * p_size AS size FROM part"
 
 

@@ -121,6 +121,12 @@ def _lines(spark, sf_dir):
     return rows.withColumn("has_eol", F.lit(True))
 
 
+@query("q_page_text", "SELECT doc_id AS doc, md5(string_agg(str || CASE WHEN seq % 2 = 0 THEN chr(10) ELSE '' END, '' ORDER BY seq)) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS str, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents) GROUP BY doc_id")
+def page_text(spark, sf_dir):
+    runs = _lines(spark, sf_dir).withColumn("has_eol", F.col("seq") % 2 == 0)
+    return V.page_text(runs).select("doc", F.md5("text").alias("digest"))
+
+
 _LINES = "SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS str, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents"
 _PLACED = f"""SELECT *, sum(length(str) + 1) OVER w - length(str) - 1 + CASE WHEN first_value(seq) OVER w > 0 THEN 1 ELSE 0 END AS start
     FROM ({_LINES}) WHERE length(str) > 0 WINDOW w AS (PARTITION BY doc ORDER BY seq ROWS UNBOUNDED PRECEDING)"""

@@ -149,5 +149,4 @@ class Segments:
 def segments(spark: SparkSession, files: DataFrame) -> DataFrame:
     """Rows of segments, or one with an error, for files(file_id, content)."""
     spark.udtf.register("segments", Segments)
-    files.createOrReplaceTempView("_files")
-    return spark.sql("SELECT f.file_id, s.* FROM _files f, LATERAL segments(f.content) s")
+    return spark.sql("SELECT f.file_id, s.* FROM {files} f, LATERAL segments(f.content) s", files=files)
