@@ -116,7 +116,7 @@ def test_details(spark, files):
     assert rows[1, "exif-device"] == "ACME Pixelbird 9"
     assert rows[1, "exif-serial"] == "042817336611, LNS-9931"
     assert rows[1, "exif-timestamp"] == "2024:01:02 03:04:05"
-    assert rows[1, "exif-thumbnail"].startswith("77 bytes.")
+    assert rows[1, "exif-thumbnail"].startswith("77 bytes;")
 
 
 def test_strip_then_nothing_is_found_and_pictures_are_whole(spark, files):
