@@ -97,22 +97,29 @@ def link(prints: DataFrame) -> DataFrame:
     hubs = common.save(hubs.select(F.col("key").alias("hub_key"), F.col("hub.id").alias("hub_id"), F.col("hub.fp").alias("hub_fp")), "hubs")
     stars = members.join(hubs, F.col("key") == F.col("hub_key")).where((F.col("id") != F.col("hub_id")) & _near("fp", "hub_fp"))
     stars = common.save(stars.select(F.col("id").alias("a"), F.col("hub_id").alias("b")).distinct(), "stars")
+    # labels of components in order of size: negative ones for those with several members, the largest first
     found = common.components(stars).select(F.col("id").alias("id2"), "component")
-    named = common.save(nodes.join(found, F.col("id") == F.col("id2"), "left").select("fp", F.coalesce("component", "id").alias("c")), "named")
-    keyed = named.repartition(parts, "fp").select("fp", "c", F.explode(_variants(F.col("fp"))).alias("key"))
-    groups = keyed.groupBy("key").agg(F.min("fp").alias("fp_a"), F.max("fp").alias("fp_b"), F.min("c").alias("c_a"), F.max("c").alias("c_b"), F.count("*").alias("n"))
-    groups = common.save(groups.where((F.col("c_a") < F.col("c_b")) & ((F.col("n") > 2) | _near("fp_a", "fp_b"))), "groups")
-    pairs = groups.where("n = 2").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))  # the aggregate holds both members
-    rest = common.save(keyed.join(common.maybe_broadcast(groups.where("n > 2").select(F.col("key").alias("split_key"))), F.col("key") == F.col("split_key")).drop("split_key"), "rest")
-    most = rest.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"))
-    most = common.save(most.select(F.col("key").alias("split_key"), F.col("most.c").alias("main")), "most")
-    rest = rest.join(common.maybe_broadcast(most), F.col("key") == F.col("split_key")).select("key", "fp", "c", (F.col("c") == F.col("main")).alias("in_main"))
-    rest = common.save(rest, "members")
-    left, right = (rest.select("key", "in_main", *(F.col(x).alias(f"{x}_{side}") for x in ("fp", "c"))) for side in "ab")
-    strangers = left.where("not in_main").drop("in_main")
-    # of two strangers the one with the smaller component is held against the other
-    across = strangers.join(right, (strangers["key"] == right["key"]) & (F.col("c_a") != F.col("c_b")) & (F.col("in_main") | (F.col("c_a") < F.col("c_b"))) & _near("fp_a", "fp_b"))
-    merged = common.components(pairs.unionAll(across.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))).select(F.col("id").alias("c3"), "component")
+    sizes = found.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component")
+    sizes = common.save(sizes.select(F.col("component").alias("c2"), (F.monotonically_increasing_id() - F.lit(1 << 62)).alias("label")), "sizes")
+    found = found.join(common.maybe_broadcast(sizes), F.col("component") == F.col("c2")).select("id2", "component", "label")
+    named = nodes.join(found, F.col("id") == F.col("id2"), "left").select("fp", F.coalesce("component", "id").alias("c"), F.coalesce("label", F.monotonically_increasing_id()).alias("label"))
+    named = common.save(named, "named")
+    keyed = named.repartition(parts, "fp").select("fp", "label", F.explode(_variants(F.col("fp"))).alias("key"))
+    groups = keyed.groupBy("key").agg(F.min("fp").alias("fp_a"), F.max("fp").alias("fp_b"), F.min("label").alias("main"), F.max("label").alias("last"), F.count("*").alias("n"))
+    groups = common.save(groups.where((F.col("main") < F.col("last")) & ((F.col("n") > 2) | _near("fp_a", "fp_b"))), "groups")
+    pairs = groups.where("n = 2").select(F.col("main").alias("label_a"), F.col("last").alias("label_b"))  # the aggregate holds both members
+    split = common.maybe_broadcast(groups.where("n > 2").select(F.col("key").alias("split_key"), "main"))
+    strangers = keyed.join(split, (F.col("key") == F.col("split_key")) & (F.col("label") != F.col("main")))
+    strangers = common.save(strangers.select("split_key", F.col("fp").alias("fp_a"), F.col("label").alias("label_a"), "main"), "strangers")
+    # of two strangers the one with the smaller label is held against the other
+    other = (F.col("label") == F.col("main")) | (F.col("label") > F.col("label_a"))
+    across = keyed.join(common.maybe_broadcast(strangers), (F.col("key") == F.col("split_key")) & other & _near("fp", "fp_a")).select("label_a", F.col("label").alias("label_b"))
+    edges = common.save(pairs.unionAll(across).distinct(), "across")
+    names = named.groupBy("label").agg(F.first("c").alias("c"))
+    for side in "ab":
+        name = names.select(F.col("label").alias(f"label_{side}"), F.col("c").alias(side))
+        edges = edges.join(name, f"label_{side}")
+    merged = common.components(edges.select("a", "b")).select(F.col("id").alias("c3"), "component")
     merged = common.maybe_broadcast(common.save(merged, "merged"))
     return named.join(merged, F.col("c") == F.col("c3"), "left").select("fp", F.coalesce("component", "c").alias("component"))
 
