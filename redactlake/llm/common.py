@@ -23,7 +23,7 @@ BROADCAST_ROWS = 300_000
 BROADCAST_BYTES = 16_000_000
 
 #: Between two collections of the driver's garbage, on which the removal of shuffle files depends.
-GC_SECONDS = 3.0
+GC_SECONDS = 1.0
 
 _collected = 0.0
 _scratch: dict[str, SparkSession] = {}
@@ -50,15 +50,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _collect(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files that nothing needs any more."""
+    global _collected
+    if time.monotonic() - _collected > GC_SECONDS:
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
+
+
 def save(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor costs only its running tasks."""
+    """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor costs only its running tasks.
+
+    Garbage is collected before the write too: just after one, listeners may still hold the plan that was written,
+    and its shuffle files would stay through the next.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    _collect(spark)
     df.write.parquet(path, compression=compression)
-    global _collected
-    if time.monotonic() - _collected > GC_SECONDS:  # lets Spark's cleaner remove the shuffle files that nothing needs any more
-        spark.sparkContext._jvm.System.gc()
-        _collected = time.monotonic()
+    _collect(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
