@@ -98,7 +98,7 @@ def has_exif_segment(content: Column) -> Column:
 
 # Keys that a strip removes, by where they stand.
 STRIPPED_KEYS = {
-    "Catalog": ("Metadata", "AcroForm", "OpenAction", "AA", "AF", "PieceInfo"),
+    "Catalog": ("Metadata", "AcroForm", "OpenAction", "AA", "AF", "PieceInfo", "Names/JavaScript", "Names/EmbeddedFiles"),
     "Page": ("Annots", "Metadata", "AA", "PieceInfo"),
     "Names": ("JavaScript", "EmbeddedFiles"),
 }
@@ -110,7 +110,7 @@ def strip_edges(objects: DataFrame, edges: DataFrame) -> DataFrame:
     gone = F.lit(False)
     for kind, keys in STRIPPED_KEYS.items():
         gone = gone | ((F.col("_type") == kind) & F.col("key").isin(*keys))
-    gone = gone | ((F.col("_kind") == "stream") & (F.col("key") == "Metadata"))
+    gone = gone | (F.col("_kind").isin("stream", "exif-image") & (F.col("key") == "Metadata"))
     holders = objects.select(F.col("doc").alias("_doc"), F.col("obj").alias("_obj"), F.col("type").alias("_type"), F.col("kind").alias("_kind"))
     joined = edges.join(holders, (F.col("doc") == F.col("_doc")) & (F.col("src") == F.col("_obj")), "left")
     return joined.where(~F.coalesce(gone, F.lit(False))).select(*edges.columns)
@@ -169,7 +169,7 @@ def strip_all(objects: DataFrame, edges: DataFrame, info: DataFrame, roots: Data
     gone = F.array().cast("array<string>")
     for kind, keys in STRIPPED_KEYS.items():
         gone = F.when(F.col("type") == kind, F.array(*map(F.lit, keys))).otherwise(gone)
-    gone = F.when(F.col("kind") == "stream", F.array_union(gone, F.array(F.lit("Metadata")))).otherwise(gone)
+    gone = F.when(F.col("kind").isin("stream", "exif-image"), F.array_union(gone, F.array(F.lit("Metadata")))).otherwise(gone)
     if "keys" in objects.columns:
         alive = alive.withColumn("keys", F.array_except("keys", gone))
     ends = alive.select(F.col("doc").alias("_doc"), F.col("obj").alias("_obj"))

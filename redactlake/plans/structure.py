@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from redactlake.operators import documents as D
 from redactlake.plans.registry import query, table
+from redactlake.sources import pdf
 
 
 @query(
@@ -137,6 +138,44 @@ def strip_all(spark, sf_dir):
     return kept.groupBy("doc").agg(F.count("*").alias("objects"), F.sum("obj").alias("keys")).join(counts, "doc", "left").select("doc", "objects", "keys", F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
+def _pdf_files(spark, sf_dir):
+    """A small PDF for each part: two pages, an annotation, XMP; every second has it in its catalog, every third a link in its page, every seventh is encrypted."""
+    key = F.col("p_partkey")
+    pieces = (
+        "%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R", F.when(key % 2 == 0, "/Metadata 3 0 R").otherwise(""),
+        ">>endobj\n2 0 obj<</Type/Pages/Kids[4 0 R 5 0 R]>>endobj\n3 0 obj<</Type/Metadata/Length 5>>stream\nhello\nendstream endobj\n4 0 obj<</Type/Page/Parent 2 0 R/Annots[6 0 R",
+        F.when(key % 3 == 0, "<</Subtype/Link>>").otherwise(""), "]>>endobj\n5 0 obj<</Type/Page/Parent 2 0 R>>endobj\n6 0 obj<</Type/Annot/Subtype/Text>>endobj\n7 0 obj<</Title(",
+        F.col("p_name"), ")/CreationDate(D:20240102030405+01'00')>>endobj\ntrailer<</Root 1 0 R/Info 7 0 R", F.when(key % 7 == 0, "/Encrypt 8 0 R").otherwise(""), ">>",
+    )
+    content = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in pieces)).cast("binary")
+    return table(spark, sf_dir, "part").select(key.alias("file_id"), content.alias("content"))
+
+
+@query(
+    "q_pdf_objects",
+    """SELECT p_partkey AS doc, p_partkey % 7 = 0 AS encrypted, CASE WHEN p_partkey % 7 <> 0 THEN p_name END AS title, CASE WHEN p_partkey % 7 <> 0 THEN 7 ELSE 0 END AS objects,
+    CASE WHEN p_partkey % 7 <> 0 THEN 6 + (p_partkey + 1) % 2 ELSE 0 END AS edges, CASE WHEN p_partkey % 7 <> 0 THEN 1 END AS xmp, CASE WHEN p_partkey % 7 <> 0 THEN 1 END AS annots,
+    CASE WHEN p_partkey % 7 <> 0 THEN (p_partkey % 3 = 0)::BIGINT END AS links FROM part""",
+)
+def pdf_objects(spark, sf_dir):
+    """Objects, references and findings of PDF files."""
+    rows = _keep(spark)(pdf.pdf_objects(spark, _pdf_files(spark, sf_dir)))
+    parts = pdf.structure(rows)
+    sizes = rows.groupBy("doc").agg(F.bool_or("encrypted").alias("encrypted"), F.count("obj").alias("objects"), F.sum(F.coalesce(F.size("refs"), F.lit(0))).alias("edges"))
+    counts = D.object_counts(parts.objects, parts.annotations)
+    out = sizes.join(parts.info.select("doc", F.col("Title").alias("title")), "doc", "left").join(counts, "doc", "left")
+    return out.select("doc", "encrypted", "title", "objects", F.greatest("edges", F.lit(0)).cast("bigint").alias("edges"), "xmp", "annots", "links")
+
+
+@query("q_pdf_clean", "SELECT p_partkey AS doc, CASE WHEN p_partkey % 7 <> 0 THEN '1 2 4 5 7' ELSE '' END AS objects, CASE WHEN p_partkey % 7 = 0 THEN 'encrypted' END AS error, CASE WHEN p_partkey % 7 <> 0 THEN '' END AS title FROM part")
+def pdf_clean(spark, sf_dir):
+    """PDF files written without hidden data, and read again: which objects are left."""
+    cleaned = _keep(spark)(pdf.clean_files(_pdf_files(spark, sf_dir)))
+    rows = pdf.pdf_objects(spark, cleaned.where("error is null"))
+    left = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.shiftright("obj", 16))).alias("o"), F.max(F.element_at("strings", F.lit("Title"))).alias("title"))
+    return cleaned.select(F.col("file_id").alias("doc"), "error").join(left, "doc", "left").select("doc", F.coalesce(F.array_join(F.col("o").cast("array<string>"), " "), F.lit("")).alias("objects"), "error", "title")
+
+
 @query("q_uses_dct", "SELECT p_partkey, p_partkey % 4 IN (1, 2) AS dct FROM part")
 def uses_dct(spark, sf_dir):
     filters = F.element_at(F.array(*(F.array(*map(F.lit, f)) for f in (("FlateDecode",), ("DCTDecode",), ("FlateDecode", "DCTDecode")))), (F.col("p_partkey") % 4 + 1).cast("int"))
