@@ -87,7 +87,8 @@ def link(prints: DataFrame) -> DataFrame:
     among the former, so no link between components is lost, and links inside one can't change the result.
     A ball of near copies, however large, costs as many comparisons as it has members for each stranger in
     its group. Groups are aggregated before the shuffle and then joined, so the adaptive skew join splits
-    them; none is held by one task. Copies of a fingerprint, however many, are a single member.
+    them; none is held by one task. Copies of a fingerprint, however many, are a single member. Groups and
+    strangers grow faster than the input, so they never go through the driver, however few they are.
     """
     nodes = common.save(prints.groupBy("fp").agg(F.min("id").alias("id")), "prints")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes 64: a few small files are too few tasks
@@ -95,25 +96,25 @@ def link(prints: DataFrame) -> DataFrame:
     members = nodes.select("fp", "id", F.explode(whole).alias("key"))
     hubs = members.groupBy("key").agg(F.min(F.struct("id", "fp")).alias("hub"), F.count("*").alias("n")).where("n > 1")
     hubs = common.save(hubs.select(F.col("key").alias("hub_key"), F.col("hub.id").alias("hub_id"), F.col("hub.fp").alias("hub_fp")), "hubs")
-    stars = members.join(hubs, F.col("key") == F.col("hub_key")).where((F.col("id") != F.col("hub_id")) & _near("fp", "hub_fp"))
+    stars = members.join(common.unsent(hubs), F.col("key") == F.col("hub_key")).where((F.col("id") != F.col("hub_id")) & _near("fp", "hub_fp"))
     stars = common.save(stars.select(F.col("id").alias("a"), F.col("hub_id").alias("b")).distinct(), "stars")
     # labels of components in order of size: negative ones for those with several members, the largest first
     found = common.components(stars).select(F.col("id").alias("id2"), "component")
     sizes = found.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component")
     sizes = common.save(sizes.select(F.col("component").alias("c2"), (F.monotonically_increasing_id() - F.lit(1 << 62)).alias("label")), "sizes")
     found = found.join(common.maybe_broadcast(sizes), F.col("component") == F.col("c2")).select("id2", "component", "label")
-    named = nodes.join(found, F.col("id") == F.col("id2"), "left").select("fp", F.coalesce("component", "id").alias("c"), F.coalesce("label", F.monotonically_increasing_id()).alias("label"))
+    named = nodes.join(common.unsent(found), F.col("id") == F.col("id2"), "left").select("fp", F.coalesce("component", "id").alias("c"), F.coalesce("label", F.monotonically_increasing_id()).alias("label"))
     named = common.save(named, "named")
     keyed = named.repartition(parts, "fp").select("fp", "label", F.explode(_variants(F.col("fp"))).alias("key"))
     groups = keyed.groupBy("key").agg(F.min("fp").alias("fp_a"), F.max("fp").alias("fp_b"), F.min("label").alias("main"), F.max("label").alias("last"), F.count("*").alias("n"))
     groups = common.save(groups.where((F.col("main") < F.col("last")) & ((F.col("n") > 2) | _near("fp_a", "fp_b"))), "groups")
     pairs = groups.where("n = 2").select(F.col("main").alias("label_a"), F.col("last").alias("label_b"))  # the aggregate holds both members
-    split = common.maybe_broadcast(groups.where("n > 2").select(F.col("key").alias("split_key"), "main"))
+    split = common.unsent(groups.where("n > 2").select(F.col("key").alias("split_key"), "main"))
     strangers = keyed.join(split, (F.col("key") == F.col("split_key")) & (F.col("label") != F.col("main")))
     strangers = common.save(strangers.select("split_key", F.col("fp").alias("fp_a"), F.col("label").alias("label_a"), "main"), "strangers")
     # of two strangers the one with the smaller label is held against the other
     other = (F.col("label") == F.col("main")) | (F.col("label") > F.col("label_a"))
-    across = keyed.join(common.maybe_broadcast(strangers), (F.col("key") == F.col("split_key")) & other & _near("fp", "fp_a")).select("label_a", F.col("label").alias("label_b"))
+    across = keyed.join(common.unsent(strangers), (F.col("key") == F.col("split_key")) & other & _near("fp", "fp_a")).select("label_a", F.col("label").alias("label_b"))
     edges = common.save(pairs.unionAll(across).distinct(), "across")
     names = named.groupBy("label").agg(F.first("c").alias("c"))
     for side in "ab":
@@ -134,7 +135,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     rows = common.save(fingerprints(docs, id_column, text_column), "fingerprints")
     linked = link(rows.where("id is not null").select("fp", "id"))
-    found = rows.join(linked.select(F.col("fp").alias("fp2"), "component"), F.col("fp") == F.col("fp2"), "left")
+    found = rows.join(common.unsent(linked.select(F.col("fp").alias("fp2"), "component")), F.col("fp") == F.col("fp2"), "left")
     return found.select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"), "text_key", "n_chars", "row_no")
 
 

@@ -617,6 +617,18 @@ def test_simhash_links_balls_and_chains(spark):
     assert {i: linked[signed(x)] for i, x in prints.items()} == brute_components(prints)
 
 
+def test_groups_and_strangers_never_go_through_the_driver(spark, monkeypatch):
+    sent = []
+    small = common.is_small
+    monkeypatch.setattr(common, "is_small", lambda df, *a: sent.append(df.columns) or small(df, *a))
+    table = spark.createDataFrame([(x, x) for x in (0, 1 << 30, 1 << 62, (1 << 62) + 15, 7 << 20)], "fp long, id long")
+    assert simhash.link(table).count() == 5
+    assert sent and not [x for x in sent if "split_key" in x]
+    few = common.save(spark.range(50).withColumnRenamed("id", "b"), "few")  # its file is small, yet it has more rows than may be sent
+    plan = spark.range(9).join(common.maybe_broadcast(few, 20), F.col("id") == F.col("b"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_simhash_edges(spark):
     rows = {}
     for r in simhash.near_duplicates(docs_of(spark, EDGES)).collect():
