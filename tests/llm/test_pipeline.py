@@ -111,6 +111,15 @@ def test_one_of_equal_rows_stays(spark, data):
     assert doubled.columns == same.columns and {(r.id, r._copies, r._text_key, r._copy) for r in doubled.collect()} == {("i", 9, "own", 10)}
 
 
+def test_simhash_stage_sends_no_groups_through_the_driver(spark, data, monkeypatch):
+    sent = []
+    small = common.is_small
+    monkeypatch.setattr(common, "is_small", lambda df, *a: sent.append(df.columns) or small(df, *a))
+    docs = clashing(spark, [(5, "a b c d e f", "en", "a"), (6, "a b c d e f", "en", "a"), (7, "g h i j k l", "en", "a")])
+    assert simhash.stage_simhash(spark, docs, data).count() == 2
+    assert sent and not [x for x in sent if "split_key" in x]
+
+
 def test_entry_imports_without_the_subpackage(tmp_path):
     import shutil
     import subprocess
