@@ -276,6 +276,16 @@ def test_texts_that_share_a_passage_all_meet_the_smallest_id(spark):
     assert {(0, k) for k in range(1, 200)} <= pairs
 
 
+def test_every_pair_of_texts_that_share_a_passage_can_be_asked_for(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    passage = [word() for _ in range(60)]
+    rows = [(k, " ".join([*(word() for _ in range(20 + k % 7)), *passage, *(word() for _ in range(20))])) for k in range(30)]
+    docs = docs_of(spark, [*rows, (40, " ".join(word() for _ in range(100)))])
+    got = passages.candidate_pairs(docs, "doc_id", "text", every=True).collect()
+    assert sorted((r.a, r.b) for r in got) == [(a, b) for a in range(30) for b in range(a + 1, 30)]
+
+
 def test_passages_of_repeated_lines_are_found_at_any_offset():
     rng = np.random.default_rng(5)
     words = lambda n: rng.integers(1, 2**62, n).tolist()
