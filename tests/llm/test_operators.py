@@ -3,6 +3,9 @@
 import hashlib
 import os
 import re
+import shutil
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -707,6 +710,28 @@ def test_components_of_chains_and_stars(spark):
     assert common.components(edges.limit(0)).count() == 0
 
 
+SAVES = """
+from pyspark.sql import SparkSession
+from redactlake.llm import common
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{0}/shared").getOrCreate()
+common.save(spark.range(5), "before")  # makes the shared folder
+open("{0}/started", "w").close()
+assert sorted(r.id for r in common.save(spark.range(5), "five").collect()) == [0, 1, 2, 3, 4]
+assert common.save(spark.range(0), "none").count() == 0
+"""
+
+
+def test_the_driver_starts_no_process_to_save_a_table(tmp_path):
+    chmod = tmp_path / "bin" / "chmod"
+    chmod.parent.mkdir()
+    chmod.write_text(f'#!/bin/sh\necho "$@" >> {tmp_path}/started\nexec {shutil.which("chmod")} "$@"\n')
+    chmod.chmod(0o755)
+    subprocess.run([sys.executable, "-c", SAVES.format(tmp_path)], env=os.environ | {"PATH": f"{chmod.parent}:{os.environ['PATH']}"}, check=True)
+    started = (tmp_path / "started").read_text().splitlines()
+    assert started  # by tasks
+    assert [x for x in started if "/_temporary/0/_temporary" not in x] == []
+
+
 def test_keep_rows_with_repeated_ids(spark):
     docs = docs_of(spark, [(1, "a"), (1, "b"), (2, "a"), (3, "c"), (None, "a"), (4, "d"), (4, "d")])
     text = F.xxhash64("text")
