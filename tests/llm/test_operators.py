@@ -289,6 +289,24 @@ def test_every_pair_of_texts_that_share_a_passage_can_be_asked_for(spark):
     assert sorted((r.a, r.b) for r in got) == [(a, b) for a in range(30) for b in range(a + 1, 30)]
 
 
+def test_words_hashed_in_bulk_equal_words_hashed_one_by_one(monkeypatch):
+    rng = np.random.default_rng(7)
+    letters = list("abAB\x00\xa0\u0120é")
+    word = lambda: "".join(rng.choice(letters, rng.integers(1, 5)))
+    texts = ["", " \t\n\x0b\x0c\r", "x", "\nIs is\x0bIS ", "A" * 40 + " " + "a" * 40 + " " + "a" * 41, "é" * 300]
+    texts += ["".join(word() + str(rng.choice(list(" \t\n\x0b\x0c\r"))) * rng.integers(1, 3) for _ in range(rng.integers(0, 80))) for _ in range(100)]
+    texts = [t.encode() for t in texts]
+    want = [[xxhash.xxh64_intdigest(w) for w in t.lower().split()] for t in texts]
+    for chunk in (passages._CHUNK, 64, 33):  # texts and words that are longer than a chunk
+        monkeypatch.setattr(passages, "_CHUNK", chunk)
+        seen = {}
+        for _ in range(2):
+            assert [g.tolist() for g in passages.word_hashes(texts, seen)] == want
+        pairs = {x for ws, g in zip(want, passages.word_hashes(texts), strict=True) for x in zip(ws, g.tolist(), strict=True)}
+        assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+    assert passages.word_hashes([], {}) == []
+
+
 def test_passages_of_repeated_lines_are_found_at_any_offset():
     rng = np.random.default_rng(5)
     words = lambda n: rng.integers(1, 2**62, n).tolist()
