@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from redactlake.llm import catalog, chat, common, exact_dedup, language, lattice, mixing, nearest, packing, passages, simhash, toxicity
 
-TABLES = "documents embeddings conversations labels".split()
+TABLES = "documents embeddings conversations labels benchmark".split()
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, fp string, digest string, kept string"
 
 
