@@ -29,6 +29,13 @@ def _terms(select):
     return f"SELECT term, regexp_replace({_flat('term')}, {literal}) AS pattern FROM ({select})"
 
 
+def _leaked(docs):
+    """CTEs up to leaked(doc, term): pairs whose flat text holds the flat term anywhere, then those where it stands as a word."""
+    return f"""terms AS MATERIALIZED (SELECT term, pattern, {_flat("term")} AS flat FROM ({_terms(_LONG)})), docs AS MATERIALIZED ({docs}),
+    pairs AS MATERIALIZED (SELECT doc, t, term, pattern FROM docs JOIN terms ON contains(t, flat)),
+    leaked AS (SELECT DISTINCT doc, term FROM pairs WHERE {_found("t", "pattern")})"""
+
+
 _SHORT = f"SELECT DISTINCT {_trimmed('t')} AS term FROM (SELECT array_to_string(string_split(text, ' ')[1:2], ' ') AS t FROM benchmark UNION ALL SELECT 'un (ai)' UNION ALL SELECT ' the ') WHERE {_trimmed('t')} <> ''"
 _LONG = f"SELECT DISTINCT {_trimmed('text')} AS term FROM benchmark WHERE {_trimmed('text')} <> ''"
 
@@ -65,8 +72,7 @@ def surviving_pages(spark, sf_dir):
 
 @query(
     "q_leaked_terms",
-    f"""WITH terms AS ({_terms(_LONG)}), docs AS (SELECT doc_id AS doc, {_flat("text")} AS t FROM documents)
-    SELECT DISTINCT doc, term FROM docs, terms WHERE {_found("t", "pattern")}""",
+    f"""WITH {_leaked(f"SELECT doc_id AS doc, {_flat('text')} AS t FROM documents")} SELECT doc, term FROM leaked""",
 )
 def leaked_terms(spark, sf_dir):
     return V.leaked_terms(_documents(spark, sf_dir), _long_terms(spark, sf_dir)).select("doc", "term")
@@ -93,11 +99,11 @@ def match_count(spark, sf_dir):
 
 @query(
     "q_verify_clean",
-    f"""WITH terms AS ({_terms(_LONG)}), docs AS (SELECT doc_id AS doc, text, {_flat("text")} AS t FROM documents),
-    leaked AS (SELECT doc, count(*) AS n FROM (SELECT DISTINCT doc, term FROM docs, terms WHERE {_found("t", "pattern")}) GROUP BY doc),
+    f"""WITH {_leaked(f"SELECT doc_id AS doc, text, {_flat('text')} AS t FROM documents")},
+    found AS (SELECT doc, count(*) AS n FROM leaked GROUP BY doc),
     mail AS (SELECT doc, 1 AS n FROM docs WHERE regexp_matches(text, '[A-Za-z0-9._]+@[A-Za-z0-9-]+[.][a-z]+'))
-    SELECT doc, coalesce(leaked.n, 0)::BIGINT AS n_leaked, coalesce(mail.n, 0)::BIGINT AS n_addresses, coalesce(leaked.n, 0) + coalesce(mail.n, 0) = 0 AS clean
-    FROM docs LEFT JOIN leaked USING (doc) LEFT JOIN mail USING (doc)""",
+    SELECT doc, coalesce(found.n, 0)::BIGINT AS n_leaked, coalesce(mail.n, 0)::BIGINT AS n_addresses, coalesce(found.n, 0) + coalesce(mail.n, 0) = 0 AS clean
+    FROM docs LEFT JOIN found USING (doc) LEFT JOIN mail USING (doc)""",
 )
 def verify_clean(spark, sf_dir):
     docs = _documents(spark, sf_dir)
