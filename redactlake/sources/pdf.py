@@ -3,7 +3,9 @@
 Objects are read in the order of the file, a later one replacing an earlier one of its number, so files with
 a damaged cross-reference table are read too. Object streams are unpacked (Flate only). A file is walked by
 one Python call on its bytes; what follows from its objects is expressed on columns. A malformed file yields
-one row with an error and no object, an encrypted one a row that says so.
+one row with an error and no object, an encrypted one a row that says so. Refused as malformed are also object
+numbers from 2^31, generations from 2^16, numbers of over 18 digits before the point, values nested deeper than
+_DEEPEST, and files whose streams inflate to over MAX_INFLATED bytes together.
 """
 
 from __future__ import annotations
@@ -22,10 +24,18 @@ from redactlake.operators.documents import INFO_KEYS, STRIPPED_INFO, STRIPPED_KE
 from redactlake.sources.containers import Malformed
 
 ROW = """obj bigint, kind string, type string, subtype string, keys array<string>, filters array<string>, refs array<struct<key: string, dst: bigint>>,
-annotations array<struct<obj: bigint, subtype: string>>, root bigint, info bigint, encrypted boolean, strings map<string, string>, created bigint, modified bigint, error string"""
+annotations array<struct<obj: bigint, subtype: string>>, root bigint, info bigint, encrypted boolean, strings map<string, string>, created bigint, modified bigint, error string,
+node struct<kids: array<bigint>, parent: bigint, media: array<double>, crop: array<double>, rotate: int, fonts: map<string, bigint>>,
+font struct<code_bytes: int, widths: array<struct<lo: int, hi: int, width: double>>, missing: double, encoding: string, differences: array<struct<code: int, name: string>>, to_unicode: bigint>"""
+#: What pdf_content() gives: an operator of a page, or a range of a character map (op is bf, page its stream).
+OPERATOR_ROW = "page bigint, seq int, op string, nums array<double>, items array<struct<codes: binary, shift: double>>, font string, error string"
 _EXIF_WINDOW = 65536 + 9
 _EXIF = re.compile(rb"\xff\xe1..Exif\x00\x00", re.DOTALL)
 _DEEPEST = 100
+#: Bytes that the streams of one file may inflate to together.
+MAX_INFLATED = 256_000_000
+#: Failures of one file, which become its error row.
+BROKEN = (Malformed, ValueError, OverflowError, RecursionError)
 #: Objects of one object stream in written files.
 _PACKED = 200
 
@@ -62,6 +72,7 @@ class Stream(NamedTuple):
 class Document(NamedTuple):
     objects: dict[Ref, Any]
     trailer: dict
+    room: list[int]
 
     @property
     def encrypted(self) -> bool:
@@ -80,6 +91,30 @@ def _skip(data: bytes, at: int) -> int:
     return _SKIP.match(data, at).end()
 
 
+def _ref(number: bytes, generation: bytes) -> Ref:
+    if len(number) > 10 or len(generation) > 5 or int(number) >= 1 << 31 or int(generation) >= 1 << 16:
+        raise Malformed(f"object number {number[:20]!r} {generation[:20]!r} out of range")
+    return Ref(int(number), int(generation))
+
+
+def _number(digits: bytes) -> int | float:
+    if len(digits.partition(b".")[0].lstrip(b"+-0")) > 18:
+        raise Malformed(f"number of {len(digits)} digits")
+    return float(digits) if b"." in digits else int(digits)
+
+
+def _inflated(raw: bytes, doc: Document) -> bytes:
+    """Inflated bytes, as far as the stream is whole, within the room that the file's other streams have left."""
+    try:
+        plain = zlib.decompressobj().decompress(raw, doc.room[0] + 1)
+    except zlib.error as e:
+        raise Malformed(f"stream: {e}") from e
+    doc.room[0] -= len(plain)
+    if doc.room[0] < 0:
+        raise Malformed(f"streams inflate to over {MAX_INFLATED} bytes")
+    return plain
+
+
 def _literal(data: bytes, at: int) -> tuple[bytes, int]:
     out, depth, start = [], 1, at + 1
     while found := _STRING_PART.search(data, start):
@@ -141,9 +176,9 @@ def parse(data: bytes, at: int, depth: int = 0) -> tuple[Any, int]:
         if data.startswith(word, at):
             return meant, at + len(word)
     if found := _REF.match(data, at):
-        return Ref(int(found[1]), int(found[2])), found.end()
+        return _ref(found[1], found[2]), found.end()
     if found := _NUMBER.match(data, at):
-        return (float if b"." in found.group() else int)(found.group()), found.end()
+        return _number(found.group()), found.end()
     raise Malformed(f"no value at {at}")
 
 
@@ -162,25 +197,31 @@ def _raw(data: bytes, at: int, entries: dict, lengths: dict[Ref, int]) -> tuple[
 
 def _unpacked(stream: Stream, doc: Document) -> Iterator[tuple[Ref, Any]]:
     """Objects of an object stream."""
+    plain = _plain(stream, doc)
+    n, first = (doc.value(stream.entries.get(k)) for k in ("N", "First"))
+    if not isinstance(n, int) or not isinstance(first, int) or n < 0 or first < 0:
+        raise Malformed(f"object stream of {n!r} objects from {first!r}")
+    head = plain[:first].split()[: 2 * n]
+    for number, at in zip(head[::2], head[1::2], strict=False):
+        if not number.isdigit() or not at.isdigit() or len(at) > 10:
+            raise Malformed(f"object stream names {number[:20]!r} at {at[:20]!r}")
+        yield _ref(number, b"0"), parse(plain, first + int(at))[0]
+
+
+def _plain(stream: Stream, doc: Document) -> bytes:
+    """A stream's bytes without their filter, which must be Flate, if there is one."""
     filters = doc.value(stream.entries.get("Filter"))
     filters = [filters] if isinstance(filters, Name) else filters or []
-    if filters not in ([], ["FlateDecode"]) or stream.entries.get("DecodeParms"):
-        raise Malformed(f"object stream with filters {filters}")
-    try:
-        plain = zlib.decompressobj().decompress(stream.raw) if filters else stream.raw
-        n, first = (int(doc.value(stream.entries[k])) for k in ("N", "First"))
-    except (zlib.error, KeyError, TypeError) as e:
-        raise Malformed(f"object stream: {e!r}") from e
-    head = [int(x) for x in plain[:first].split()[: 2 * n]]
-    for number, at in zip(head[::2], head[1::2], strict=False):
-        yield Ref(number, 0), parse(plain, first + at)[0]
+    if filters not in ([], ["FlateDecode"]) or doc.value(stream.entries.get("DecodeParms")):
+        raise Malformed(f"stream with filters {str(filters)[:100]}")
+    return _inflated(stream.raw, doc) if filters else stream.raw
 
 
 def read(data: bytes) -> Document:
     """Objects and trailer; an encrypted document has no objects, since they can't be read."""
     if data.find(b"%PDF-", 0, 1024) < 0:
         raise Malformed("not a PDF: no header")
-    lengths = {Ref(int(a), int(b)): int(n) for a, b, n in _LENGTH.findall(data)}
+    lengths = {_ref(a, b): int(n) for a, b, n in _LENGTH.findall(data) if len(n) <= 18}
     found, trailer, at = [], {}, 0
     while mark := _MARK.search(data, at):
         value, at = parse(data, mark.end())
@@ -194,8 +235,8 @@ def read(data: bytes) -> Document:
                 trailer |= {k: value[k] for k in ("Root", "Info", "Encrypt", "ID") if k in value}
                 continue
             value = Stream(value, raw)
-        found.append((Ref(int(mark[1]), int(mark[2])), value))
-    doc = Document({}, trailer)
+        found.append((_ref(mark[1], mark[2]), value))
+    doc = Document({}, trailer, [MAX_INFLATED])
     if doc.encrypted:
         return doc
     if not found:
@@ -203,7 +244,7 @@ def read(data: bytes) -> Document:
     numbers = {ref: v for ref, v in found if isinstance(v, int)}  # what an object stream's entries may refer to
     for ref, value in found:
         if isinstance(value, Stream) and value.entries.get("Type") == "ObjStm":
-            doc.objects.update(_unpacked(value, Document(numbers, {})))
+            doc.objects.update(_unpacked(value, Document(numbers, {}, doc.room)))
         else:
             doc.objects[ref] = value
     return doc
@@ -275,6 +316,71 @@ def _annotations(doc: Document, ref: Ref, page: dict) -> list[tuple[int, str | N
     return out
 
 
+def _floats(value: Any, n: int | None = None) -> list[float] | None:
+    if isinstance(value, list) and all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in value) and n in (None, len(value)):
+        return list(map(float, value))
+    return None
+
+
+def _listed(doc: Document, value: Any) -> list:
+    value = doc.value(value)
+    return [doc.value(v) for v in value] if isinstance(value, list) else []
+
+
+def _node(doc: Document, of: str | None, entries: dict) -> tuple | None:
+    """What a node of the page tree says itself: the nodes below (the catalog has the tree's root), its parent, boxes, rotation and named fonts."""
+    if of not in ("Catalog", "Pages", "Page") and "Kids" not in entries:
+        return None
+    kids = [entries.get("Pages")] if of == "Catalog" else doc.value(entries.get("Kids")) if of != "Page" else []
+    parent = entries.get("Parent")
+    boxes = (_floats(_listed(doc, entries.get(k)), 4) for k in ("MediaBox", "CropBox"))
+    rotate = doc.value(entries.get("Rotate"))
+    resources = doc.value(entries.get("Resources"))
+    fonts = None
+    if isinstance(resources, dict):
+        named = doc.value(resources.get("Font"))
+        fonts = {str(k): v.key for k, v in named.items() if isinstance(v, Ref)} if isinstance(named, dict) else {}
+    rotate = int(rotate) % 360 if isinstance(rotate, (int, float)) and abs(rotate) < 1 << 31 else None
+    return [k.key for k in kids if isinstance(k, Ref)] if isinstance(kids, list) else [], parent.key if isinstance(parent, Ref) else None, *boxes, rotate, fonts
+
+
+def _font(doc: Document, entries: dict) -> tuple:
+    """A font's widths by ranges of codes, its encoding and its character map."""
+    composite = _name(doc.value(entries.get("Subtype"))) == "Type0"
+    unicode = entries.get("ToUnicode")
+    widths, missing, differences, code = [], 0.0, [], 0
+    encoding = doc.value(entries.get("Encoding"))
+    if composite:
+        inner = _entries((_listed(doc, entries.get("DescendantFonts")) or [None])[0])
+        default, items = doc.value(inner.get("DW")), _listed(doc, inner.get("W"))
+        missing = float(default) if isinstance(default, (int, float)) else 1000.0
+        while len(items) > 1:
+            first, following = items[:2]
+            if isinstance(first, int) and isinstance(following, list):
+                widths += [(first + i, first + i, w) for i, w in enumerate(_floats(following) or [])]
+                items = items[2:]
+            elif _floats(items[:3], 3) and all(isinstance(x, int) for x in items[:2]):
+                widths.append((first, following, float(items[2])))
+                items = items[3:]
+            else:
+                break
+    else:
+        first, described = doc.value(entries.get("FirstChar")), _entries(doc.value(entries.get("FontDescriptor")))
+        given = doc.value(described.get("MissingWidth"))
+        missing = float(given) if isinstance(given, (int, float)) else 0.0
+        for i, w in enumerate(_floats(_listed(doc, entries.get("Widths"))) or []):
+            widths.append(((first if isinstance(first, int) else 0) + i,) * 2 + (w,))
+        if isinstance(encoding, dict):
+            for item in _listed(doc, encoding.get("Differences")):
+                if isinstance(item, Name):
+                    differences.append((code, str(item)))
+                code = item if isinstance(item, int) else code + 1
+            encoding = doc.value(encoding.get("BaseEncoding"))
+    widths = [w for w in widths if 0 <= w[0] <= w[1] < 1 << 16]
+    differences = [d for d in differences if 0 <= d[0] < 256]
+    return 2 if composite else 1, widths, missing, _name(encoding), differences, unicode.key if isinstance(unicode, Ref) else None
+
+
 def rows_of(data: bytes) -> Iterator[tuple]:
     """A row for the trailer, then one for each object; columns as in ROW."""
     doc = read(data)
@@ -282,7 +388,7 @@ def rows_of(data: bytes) -> Iterator[tuple]:
     entries = _entries(doc.value(info))
     strings = {k: t for k in INFO_KEYS if (t := _text(doc.value(entries.get(k)))) is not None}
     dates = [_millis(doc.value(entries.get(k))) for k in ("CreationDate", "ModDate")]
-    yield (*(None,) * 8, *(r.key if isinstance(r, Ref) else None for r in (root, info)), doc.encrypted, strings, *dates, None)
+    yield (*(None,) * 8, *(r.key if isinstance(r, Ref) else None for r in (root, info)), doc.encrypted, strings, *dates, *(None,) * 3)
     trees = {_entries(v).get("Names") for v in doc.objects.values() if _entries(v).get("Type") == "Catalog" and isinstance(_entries(v).get("Names"), Ref)}
     for ref, value in doc.objects.items():
         entries = _entries(value)
@@ -293,7 +399,7 @@ def rows_of(data: bytes) -> Iterator[tuple]:
         if kind == "stream" and subtype == "Image" and "DCTDecode" in filters and _EXIF.search(value.raw[:_EXIF_WINDOW]):
             kind = "exif-image"
         of = "Names" if ref in trees else _name(doc.value(entries.get("Type")))
-        yield ref.key, kind, of, subtype, list(map(str, entries)), filters, list(_edges(doc, value)), _annotations(doc, ref, entries) if of == "Page" else [], *(None,) * 7
+        yield ref.key, kind, of, subtype, list(map(str, entries)), filters, list(_edges(doc, value)), _annotations(doc, ref, entries) if of == "Page" else [], *(None,) * 7, _node(doc, of, entries), _font(doc, entries) if of == "Font" else None
 
 
 @udtf(returnType=ROW)
@@ -303,11 +409,117 @@ class PdfObjects:
     def eval(self, content: bytes) -> Iterator[tuple]:
         try:
             found = list(rows_of(bytes(content or b"")))
-        except Malformed as e:
-            found = [(*(None,) * 14, str(e))]
+        except BROKEN as e:
+            found = [(*(None,) * 14, str(e), None, None)]
         yield from found
 
 
+_WORD = re.compile(rb"[A-Za-z'\"][A-Za-z0-9*'\"]*")
+_IMAGE_END = re.compile(_WS + rb"EI(?=" + _WS + rb"|\Z)")
+#: Numbers that operators which place text take, and those that show it.
+_PLACING = {"q": 0, "Q": 0, "cm": 6, "BT": 0, "ET": 0, "Td": 2, "Tm": 6, "T*": 0, "Tc": 1, "Tw": 1, "Tz": 1, "TL": 1, "Ts": 1, "Tf": 1}
+
+
+def _words(data: bytes) -> Iterator[tuple[str, list]]:
+    """(operator, operands) of a content stream or a character map; pictures that stand in it are passed over."""
+    at, operands = _skip(data, 0), []
+    while at < len(data):
+        word = _WORD.match(data, at)
+        if word is None:
+            value, at = parse(data, at)
+            operands.append(value)
+        else:
+            at = word.end()
+            if word.group() == b"BI":
+                end = _IMAGE_END.search(data, at)
+                at = end.end() if end else len(data)
+            elif word.group() in (b"true", b"false", b"null"):
+                operands.append(None)
+            else:
+                yield word.group().decode(), operands
+            operands = [] if word.group() not in (b"true", b"false", b"null") else operands
+        at = _skip(data, at)
+
+
+def _operators(data: bytes) -> Iterator[tuple[str, list[float], list, str | None]]:
+    """(op, numbers, shown items, font in force) of the operators that place or show text; combined ones are taken apart."""
+    font, fonts = None, []
+    for op, operands in _words(data):
+        numbers = _floats(operands) or []
+        shown = operands[-1:] if op in ("Tj", "'", '"') else operands[-1] if op == "TJ" and operands and isinstance(operands[-1], list) else []
+        if op == '"':
+            numbers = _floats(operands[:-1], 2) or [0.0, 0.0]
+            yield "Tw", numbers[:1], [], font
+            yield "Tc", numbers[1:], [], font
+        if op in ("'", '"'):
+            yield "T*", [], [], font
+        if op == "TD" and len(numbers) == 2:
+            yield "TL", [-numbers[1]], [], font
+            op = "Td"
+        if op == "q":
+            fonts.append(font)
+        elif op == "Q" and fonts:
+            font = fonts.pop()
+        elif op == "Tf" and len(operands) == 2 and isinstance(operands[0], Name):
+            font, numbers = str(operands[0]), _floats(operands[1:]) or [0.0]
+        if op in ("Tj", "TJ", "'", '"'):
+            yield "Tj", [], [(v, None) if isinstance(v, bytes) else (None, float(v)) for v in shown if isinstance(v, (bytes, int, float))], font
+        elif _PLACING.get(op) == len(numbers):
+            yield op, numbers, [], font
+
+
+def _mapped(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(first code, last code, text of the first in UTF-16) of a character map."""
+    for op, operands in _words(data):
+        step = {"endbfchar": 2, "endbfrange": 3}.get(op)
+        for at in range(0, len(operands) - (step or 0) + 1, step) if step else ():
+            codes, target = operands[at : at + step - 1], operands[at + step - 1]
+            if not all(isinstance(c, bytes) and 0 < len(c) <= 2 for c in codes):
+                continue
+            lo, hi = int.from_bytes(codes[0]), int.from_bytes(codes[-1])
+            for i, text in enumerate(target[: hi - lo + 1] if isinstance(target, list) else [target]):
+                if isinstance(text, bytes) and len(text) >= 2 and len(text) % 2 == 0:
+                    yield lo + i, lo + i if isinstance(target, list) else hi, text
+
+
+def operators_of(data: bytes) -> Iterator[tuple]:
+    """Rows as in OPERATOR_ROW. A page or map that can't be read has one row that says why, beside what stands before the fault."""
+    doc = read(data)
+    for ref, value in doc.objects.items():
+        entries, seq = _entries(value), 0
+        kind = _name(doc.value(entries.get("Type")))
+        try:
+            if kind == "Page":
+                held = doc.value(entries.get("Contents"))
+                streams = [s for s in (_listed(doc, held) if isinstance(held, list) else [held]) if isinstance(s, Stream)]
+                for op, numbers, items, font in _operators(b"\n".join(_plain(s, doc) for s in streams)):
+                    yield ref.key, seq, op, numbers, items, font, None
+                    seq += 1
+            elif kind == "Font" and isinstance(stream := doc.value(entries.get("ToUnicode")), Stream):
+                for lo, hi, text in _mapped(_plain(stream, doc)):
+                    yield entries["ToUnicode"].key, seq, "bf", [float(lo), float(hi)], [(text, None)], None, None
+                    seq += 1
+        except BROKEN as e:
+            yield ref.key, seq, None, None, None, None, str(e)
+
+
+@udtf(returnType=OPERATOR_ROW)
+class PdfContent:
+    """SELECT f.file_id, c.* FROM files f, LATERAL pdf_content(f.content) c"""
+
+    def eval(self, content: bytes) -> Iterator[tuple]:
+        try:
+            yield from operators_of(bytes(content or b""))
+        except BROKEN:  # pdf_objects() has the row that says why
+            return
+
+
+def pdf_content(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """For files(file_id, content): the text operators of each page and the ranges of character maps, as in OPERATOR_ROW, beside doc."""
+    spark.udtf.register("pdf_content", PdfContent)
+    return spark.sql("SELECT f.file_id AS doc, c.* FROM {files} f, LATERAL pdf_content(f.content) c", files=files)
+
+
 def pdf_objects(spark: SparkSession, files: DataFrame) -> DataFrame:
     """For files(file_id, content): file_id, a trailer's row (obj is null) or an error's, and a row for each object."""
     spark.udtf.register("pdf_objects", PdfObjects)
@@ -450,7 +662,7 @@ def clean_files(files: DataFrame) -> DataFrame:
                 key, data = batch.column("file_id").slice(at, 1), batch.column("content")[at].as_py()
                 try:
                     content, error = clean(data or b""), None
-                except Malformed as e:
+                except BROKEN as e:
                     content, error = None, str(e)
                 yield pa.record_batch([key, pa.array([content], pa.binary()), pa.array([error], pa.string())], ["file_id", "content", "error"])
 
