@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from redactlake.operators import documents as D
+from redactlake.operators.rounds import saver
 from redactlake.plans.registry import query, table
 from redactlake.sources import pdf
 
@@ -105,13 +106,6 @@ def strip_edges(spark, sf_dir):
     return D.strip_edges(objects, edges)
 
 
-def _keep(spark):
-    """Saves a round where the session names a checkpoint folder, else in memory: the graph of these queries is small."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return lambda df: df.checkpoint()
-    return lambda df: df.persist()
-
-
 @query(
     "q_gc_reachable",
     f"""WITH RECURSIVE e AS ({_EDGES}), r(doc, obj) AS (SELECT p_partkey // 50, p_partkey FROM part WHERE p_partkey % 50 = 0 UNION SELECT e.doc, e.dst FROM r JOIN e ON e.doc = r.doc AND e.src = r.obj)
@@ -119,7 +113,7 @@ def _keep(spark):
 )
 def gc_reachable(spark, sf_dir):
     objects, edges, roots = _graph(spark, sf_dir)
-    kept = D.collect_garbage(objects, edges, roots, _keep(spark))
+    kept = D.collect_garbage(objects, edges, roots, saver(spark))
     return kept.groupBy("doc").agg(F.count("*").alias("kept"), F.sum("obj").alias("keys"))
 
 
@@ -133,7 +127,7 @@ def gc_reachable(spark, sf_dir):
 def strip_all(spark, sf_dir):
     objects, edges, roots = _graph(spark, sf_dir)
     info = roots.select("doc", F.lit("t").alias("Title"))
-    kept, left, _ = D.strip_all(objects, edges, info, roots, _keep(spark))
+    kept, left, _ = D.strip_all(objects, edges, info, roots, saver(spark))
     counts = left.groupBy("doc").agg(F.count("*").alias("edges"))
     return kept.groupBy("doc").agg(F.count("*").alias("objects"), F.sum("obj").alias("keys")).join(counts, "doc", "left").select("doc", "objects", "keys", F.coalesce("edges", F.lit(0)).alias("edges"))
 
@@ -159,7 +153,7 @@ def _pdf_files(spark, sf_dir):
 )
 def pdf_objects(spark, sf_dir):
     """Objects, references and findings of PDF files."""
-    rows = _keep(spark)(pdf.pdf_objects(spark, _pdf_files(spark, sf_dir)))
+    rows = saver(spark)(pdf.pdf_objects(spark, _pdf_files(spark, sf_dir)))
     parts = pdf.structure(rows)
     sizes = rows.groupBy("doc").agg(F.bool_or("encrypted").alias("encrypted"), F.count("obj").alias("objects"), F.sum(F.coalesce(F.size("refs"), F.lit(0))).alias("edges"))
     counts = D.object_counts(parts.objects, parts.annotations)
@@ -170,7 +164,7 @@ def pdf_objects(spark, sf_dir):
 @query("q_pdf_clean", "SELECT p_partkey AS doc, CASE WHEN p_partkey % 7 <> 0 THEN '1 2 4 5 7' ELSE '' END AS objects, CASE WHEN p_partkey % 7 = 0 THEN 'encrypted' END AS error, CASE WHEN p_partkey % 7 <> 0 THEN '' END AS title FROM part")
 def pdf_clean(spark, sf_dir):
     """PDF files written without hidden data, and read again: which objects are left."""
-    cleaned = _keep(spark)(pdf.clean_files(_pdf_files(spark, sf_dir)))
+    cleaned = saver(spark)(pdf.clean_files(_pdf_files(spark, sf_dir)))
     rows = pdf.pdf_objects(spark, cleaned.where("error is null"))
     left = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.shiftright("obj", 16))).alias("o"), F.max(F.element_at("strings", F.lit("Title"))).alias("title"))
     return cleaned.select(F.col("file_id").alias("doc"), "error").join(left, "doc", "left").select("doc", F.coalesce(F.array_join(F.col("o").cast("array<string>"), " "), F.lit("")).alias("objects"), "error", "title")
