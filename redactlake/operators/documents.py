@@ -6,6 +6,8 @@ the references between them, each with the key it stands under.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,23 +127,80 @@ def strip_info(info: DataFrame) -> DataFrame:
     return out.drop(*(k for k in (*DATE_KEYS, *STRIPPED_INFO) if k in info.columns))
 
 
+def labelled_reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc, label, obj) that the roots(doc, label, obj) of each label lead to, roots included, over edges(doc, src, dst).
+
+    One shuffle by document, whatever the depth: a document's references meet in one task, as they did when
+    its file was read, in three arrays of numbers. Cycles, repeated edges and references to nothing are fine.
+    Null documents, labels or objects lead nowhere. The result holds an object once for each label that
+    reaches it.
+    """
+    left = edges.select(F.col("doc").alias("e_doc"), F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst")).where("e_doc is not null and src is not null and dst is not null")
+    right = roots.select(F.col("doc").alias("doc"), F.col("label").alias("label"), F.col("obj").cast("bigint").alias("obj")).where("doc is not null and label is not null and obj is not null").distinct()
+    kinds = {f.name: f.dataType.simpleString() for f in right.schema}
+
+    def run(key: tuple, held: pa.Table, wanted: pa.Table) -> pa.Table:
+        src, dst, obj = (t.column(c).to_numpy() for t, c in ((held, "src"), (held, "dst"), (wanted, "obj")))
+        ids, at = np.unique(np.concatenate([src, dst, obj]), return_inverse=True)
+        src, dst, obj = np.split(at, [len(src), 2 * len(src)])
+        order = np.argsort(src, kind="stable")
+        dst = dst[order]
+        begins = np.searchsorted(src[order], np.arange(len(ids) + 1))
+        label = wanted.column("label").combine_chunks().dictionary_encode()
+        of = label.indices.to_numpy(zero_copy_only=False)
+        seen, labels, found = np.zeros(len(ids), bool), [], []
+        for number in range(len(label.dictionary)):
+            frontier, levels = obj[of == number], []
+            while len(frontier):
+                frontier = np.unique(frontier)
+                seen[frontier] = True
+                levels.append(frontier)
+                sizes = begins[frontier + 1] - begins[frontier]
+                ends = np.cumsum(sizes)
+                ahead = dst[np.repeat(begins[frontier] - ends + sizes, sizes) + np.arange(sizes.sum())]
+                frontier = ahead[~seen[ahead]]
+            reached = np.concatenate(levels)
+            seen[reached] = False
+            labels.append(np.full(len(reached), number))
+            found.append(reached)
+        if not found:
+            return pa.table({c: pa.array([], wanted.schema.field(c).type) for c in ("doc", "label", "obj")})
+        reached = np.concatenate(found)
+        doc = wanted.column("doc").combine_chunks().take(pa.array(np.zeros(len(reached), np.int64)))
+        return pa.table({"doc": doc, "label": label.dictionary.take(pa.array(np.concatenate(labels))), "obj": pa.array(ids[reached])})
+
+    return left.groupBy("e_doc").cogroup(right.groupBy("doc")).applyInArrow(run, f"doc {kinds['doc']}, label {kinds['label']}, obj bigint")
+
+
 def reachable(edges: DataFrame, roots: DataFrame, checkpoint=None) -> DataFrame:
-    """(doc, obj) that roots(doc, obj) lead to, roots included; each round follows the objects found last.
+    """(doc, obj) that roots(doc, obj) lead to, roots included. checkpoint is unused: no round is saved."""
+    kind = roots.schema["obj"].dataType
+    return labelled_reachable(edges, roots.withColumn("label", F.lit(0))).select("doc", F.col("obj").cast(kind).alias("obj"))
+
+
+def page_objects(tree: DataFrame, objects: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc, page, obj): what a page that is copied takes along, itself included; shared objects once for each page.
+
+    tree(doc, obj, page, holder) are pages as operators/pages.page_tree() gives them: holder is the node whose
+    resources the page inherits, if they aren't its own. A page's reference to its parent isn't followed.
+    """
+    pages = objects.where("type = 'Page'").select(F.col("doc").alias("_doc"), F.col("obj").alias("_obj"))
+    upward = edges.where("key = 'Parent'").join(pages, (F.col("doc") == F.col("_doc")) & (F.col("src") == F.col("_obj")), "left_anti")
+    followed = edges.where("key is null or key <> 'Parent'").unionByName(upward).select("doc", "src", "dst")
+    given = edges.where("key = 'Resources'").select(F.col("doc").alias("_doc"), F.col("src").alias("_src"), "dst")
+    inherited = tree.where("holder <> obj").join(given, (F.col("doc") == F.col("_doc")) & (F.col("holder") == F.col("_src"))).select("doc", F.col("obj").alias("src"), "dst")
+    found = labelled_reachable(followed.unionByName(inherited), tree.select("doc", F.col("page").alias("label"), "obj"))
+    return found.select("doc", F.col("label").alias("page"), "obj")
+
+
+def page_split(held: DataFrame, plan: DataFrame) -> DataFrame:
+    """(doc, obj, copied, raster, dropped): on how many copied and rasterised pages an object stands; dropped if only on the latter.
 
-    Rounds go on until none is new, so no depth is assumed; checkpoint(df) saves a round's result and cuts
-    its lineage (DataFrame.checkpoint if not given).
+    held(doc, page, obj) as page_objects(), plan(doc, page, route, error) as redaction_plan(); refused documents have no rows.
     """
-    keep = checkpoint or (lambda df: df.checkpoint())
-    found = keep(roots.select("doc", "obj").distinct())
-    frontier = found
-    while True:
-        last = frontier.select(F.col("doc").alias("_doc"), F.col("obj").alias("_obj"))
-        targets = edges.join(last, (F.col("doc") == F.col("_doc")) & (F.col("src") == F.col("_obj")), "left_semi").select("doc", F.col("dst").alias("obj")).distinct()
-        seen = found.select(F.col("doc").alias("_doc"), F.col("obj").alias("_obj"))
-        frontier = keep(targets.join(seen, (F.col("doc") == F.col("_doc")) & (F.col("obj") == F.col("_obj")), "left_anti"))
-        if frontier.isEmpty():
-            return found
-        found = keep(found.unionByName(frontier))
+    joined = held.join(plan.where("route is not null").select("doc", "page", "route"), ["doc", "page"])
+    counts = joined.groupBy("doc", "obj").agg(F.count_if(F.col("route") == "copy").alias("copied"), F.count_if(F.col("route") == "raster").alias("raster"))
+    return counts.withColumn("dropped", F.col("copied") == 0)
 
 
 def collect_garbage(objects: DataFrame, edges: DataFrame, roots: DataFrame, checkpoint=None) -> DataFrame:

@@ -16,11 +16,13 @@ DEFAULT_BOX = (0.0, 0.0, 612.0, 792.0)
 SPACE_GAP = 200.0
 #: A run whose baseline is away from the one before by more than this share of its height stands on another line.
 LINE_SHARE = 0.5
-_INHERITED = ("media", "crop", "rotate", "fonts")
+_INHERITED = ("media", "crop", "rotate", "fonts", "holder")
 
 
 def page_tree(nodes: DataFrame, roots: DataFrame, checkpoint=None) -> DataFrame:
-    """(doc, obj, page, media, crop, rotate, fonts): the pages that a catalog leads to, numbered from 1 in the order of the tree.
+    """(doc, obj, page, media, crop, rotate, fonts, holder): the pages that a catalog leads to, numbered from 1 in the order of the tree.
+
+    holder is the node, the page or an ancestor, whose resources are in force.
 
     nodes(doc, obj, type, node), roots(doc, obj) the catalogs. A node listed more than once stands where the
     parent that it names lists it first, else under the smallest parent. Each round every node learns what its
@@ -29,7 +31,8 @@ def page_tree(nodes: DataFrame, roots: DataFrame, checkpoint=None) -> DataFrame:
     """
     keep = checkpoint or (lambda df: df.checkpoint())
     listed = nodes.select("doc", F.col("obj").alias("up"), F.posexplode("node.kids").alias("place", "obj"))
-    own = nodes.select("doc", "obj", "type", F.col("node.parent").alias("parent"), *(F.col(f"node.{c}").alias(c) for c in _INHERITED))
+    own = nodes.select("doc", "obj", "type", F.col("node.parent").alias("parent"), *(F.col(f"node.{c}").alias(c) for c in _INHERITED[:-1]))
+    own = own.withColumn("holder", F.when(F.col("fonts").isNotNull(), F.col("obj")))
     joined = own.join(listed, ["doc", "obj"])
     first = F.struct(F.coalesce(F.col("up") != F.col("parent"), F.lit(True)).alias("other"), "up", "place")
     best = joined.groupBy("doc", "obj").agg(F.min(first).alias("at")).select("doc", "obj", F.col("at.up").alias("up"), F.lpad(F.hex("at.place"), 8, "0").alias("path"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from redactlake.functions import geometry as G
+from redactlake.operators import documents as D
 from redactlake.operators import pages as P
 from redactlake.operators import verify as V
 from redactlake.operators.rounds import saver
@@ -98,3 +99,32 @@ def pdf_run_boxes(spark, sf_dir):
     matrix, port = [F.col("matrix")[i] for i in range(6)], P.viewport(F.col("view"), F.col("turned"))
     box = G.run_box(matrix, port, width, height, (F.lit(0.0), F.col("width")), (-F.col("height") * G.BOX_DESCENT, F.col("height")))
     return joined.select("doc", *(F.round(c, 6).alias(n) for c, n in zip((box.x, box.y, box.w, box.h), "xywh", strict=True)), G.is_vertical(matrix[0], matrix[1], port).alias("vertical"))
+
+
+_REFS = """SELECT p_partkey // 60 AS doc, p_partkey AS src, (p_partkey // 60) * 60 + (p_partkey * 7 + 3 + k) % 60 AS dst, CASE p_size % 3 WHEN 0 THEN 'Parent' WHEN 1 THEN 'Resources' ELSE 'XObject' END AS key
+    FROM part, (VALUES (0), (11), (17)) v(k) WHERE (p_partkey * 13 + k) % 4 <> 0"""
+_PAGE = "p_partkey % 6 = 0"
+
+
+@query(
+    "q_page_objects",
+    f"""WITH RECURSIVE e AS ({_REFS}), p AS (SELECT p_partkey // 60 AS doc, p_partkey AS obj, p_partkey % 60 // 6 + 1 AS page, p_size % 2 = 0 AS raster FROM part WHERE {_PAGE}),
+    f AS (SELECT doc, src, dst FROM e WHERE NOT (key = 'Parent' AND src % 6 = 0) UNION SELECT e.doc, p.obj, e.dst FROM p JOIN e ON e.doc = p.doc AND e.src = p.doc * 60 + 1 WHERE e.key = 'Resources' AND p.page > 5),
+    r(doc, page, obj) AS (SELECT doc, page, obj FROM p UNION SELECT r.doc, r.page, f.dst FROM r JOIN f ON f.doc = r.doc AND f.src = r.obj)
+    SELECT r.doc, r.obj, count(*) FILTER (WHERE NOT raster) AS copied, count(*) FILTER (WHERE raster) AS raster, bool_and(raster) AS dropped
+    FROM r JOIN p ON p.doc = r.doc AND p.page = r.page WHERE r.doc % 7 <> 3 GROUP BY r.doc, r.obj""",
+)
+def page_objects(spark, sf_dir):
+    """What copied pages take along and only rasterised ones had; every seventh document is encrypted and refused; pages from the sixth on inherit resources."""
+    key = F.col("p_partkey")
+    doc = F.floor(key / 60).cast("bigint").alias("doc")
+    part = table(spark, sf_dir, "part")
+    objects = part.select(doc, key.alias("obj"), F.when(key % 6 == 0, "Page").otherwise("Other").alias("type"))
+    name = F.element_at(F.array(*map(F.lit, ("Parent", "Resources", "XObject"))), F.col("p_size") % 3 + 1)
+    edges = part.select(doc, key.alias("src"), F.explode(F.array(*map(F.lit, (0, 11, 17)))).alias("k"), name.alias("key")).where((F.col("src") * 13 + F.col("k")) % 4 != 0)
+    edges = edges.select("doc", "src", (F.col("doc") * 60 + (F.col("src") * 7 + 3 + F.col("k")) % 60).alias("dst"), "key")
+    page = (F.floor(key % 60 / 6) + 1).cast("int")
+    tree = part.where(key % 6 == 0).select(doc, key.alias("obj"), page.alias("page"), F.when(page > 5, F.floor(key / 60).cast("bigint") * 60 + 1).otherwise(key).alias("holder"), "p_size")
+    rects = tree.where("p_size % 2 = 0").select("doc", "page")
+    plan = D.redaction_plan(tree, rects, tree.where("doc % 7 = 3").select("doc"))
+    return D.page_split(D.page_objects(tree, objects, edges), plan)

@@ -219,3 +219,41 @@ def test_thousands_of_mutated_files_never_fail_otherwise():
                 use(bytes(data))
             except pdf.BROKEN:
                 pass
+
+
+def test_a_copied_page_takes_its_own_objects(spark):
+    from redactlake.operators import documents as D
+
+    data = built(
+        {
+            1: b"<</Type/Catalog/Pages 2 0 R>>",
+            2: b"<</Type/Pages/Kids[3 0 R 4 0 R 5 0 R]/Resources<</XObject<</X 6 0 R>>>>/Metadata 12 0 R>>",
+            3: b"<</Type/Page/Parent 2 0 R/Contents 7 0 R>>",
+            4: b"<</Type/Page/Parent 2 0 R/Contents 8 0 R/Resources<</XObject<</Y 9 0 R>>>>>>",
+            5: b"<</Type/Page/Parent 2 0 R/Contents 7 0 R/Resources 10 0 R>>",
+            6: b"<</SMask 11 0 R>>", 7: stream(b""), 8: stream(b""), 9: b"<</Own 9 0 R/Group 11 0 R>>", 10: b"<</Parent 12 0 R>>", 11: b"[]", 12: b"1",
+        }
+    )
+    df = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(data))], "file_id long, content binary")
+    rows = pdf.pdf_objects(spark, df).persist()
+    parts = pdf.structure(rows)
+    nodes = rows.where("node is not null").select("doc", "obj", "type", "node")
+    tree = P.page_tree(nodes, rows.where("root is not null").select("doc", F.col("root").alias("obj")), lambda df: df.checkpoint()).persist()
+    held = D.page_objects(tree, parts.objects, parts.edges).persist()
+    got = {(r.page, r.obj >> 16) for r in held.where("doc = 1").collect()}
+    assert got == {(1, 3), (1, 7), (1, 6), (1, 11), (2, 4), (2, 8), (2, 9), (2, 11), (3, 5), (3, 7), (3, 10), (3, 12)}
+    assert held.count() == 2 * len(got)
+    rects = spark.createDataFrame([(1, 2)] + [(2, p) for p in range(1, 302)], "doc long, page int")
+    plan = D.redaction_plan(tree.select("doc", "page").unionByName(spark.range(4, 302).selectExpr("2L AS doc", "int(id) AS page")), rects)
+    split = {r.obj >> 16: (r.copied, r.raster, r.dropped) for r in D.page_split(held, plan).collect()}
+    assert split == {3: (1, 0, False), 7: (2, 0, False), 6: (1, 0, False), 11: (1, 1, False), 4: (0, 1, True), 8: (0, 1, True), 9: (0, 1, True), 5: (1, 0, False), 10: (1, 0, False), 12: (1, 0, False)}
+
+
+def test_reachable_at_any_depth(spark):
+    from redactlake.operators import documents as D
+
+    edges = spark.createDataFrame([(1, i, i + 1) for i in range(3000)] + [(1, 3000, 0), (2, 5, 6), (2, 5, 6), (3, 1, 2), (None, 1, 2), (1, None, 4)], "doc long, src long, dst long")
+    roots = spark.createDataFrame([(1, 7), (1, 7), (2, 9), (4, 1), (None, 1), (3, None)], "doc long, obj long")
+    got = D.reachable(edges, roots).groupBy("doc").agg(F.count("*"), F.count_distinct("obj")).collect()
+    assert sorted(map(tuple, got)) == [(1, 3001, 3001), (2, 1, 1), (4, 1, 1)]
+    assert D.reachable(edges, roots.where("false")).count() == 0
