@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from redactlake.plans import extensions, layout, lookups, pages, structure, texts, time_based  # noqa: F401  (they register themselves)
+from redactlake.plans import extensions, layout, lookups, pages, pixels, structure, texts, time_based  # noqa: F401  (they register themselves)
 from redactlake.plans import media as media_plans  # noqa: F401
 from redactlake.plans.registry import ORACLES, QUERIES
 
