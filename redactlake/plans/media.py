@@ -281,3 +281,75 @@ def webp_findings(spark, sf_dir):
 @query("q_webp_strip", "SELECT p_partkey AS file_id, CASE WHEN p_partkey % 50 <> 49 THEN '524946462200000057454250565038580A00000002000000000000000000565038200300000011223300' END AS content, p_partkey % 50 = 49 AS failed, 0::BIGINT AS remaining, 0::BIGINT AS n_notes FROM part")
 def webp_strip(spark, sf_dir):
     return _stripped(spark, _webp_files(spark, sf_dir))
+
+
+def _tiff():
+    """An EXIF block for each part: device, orientation, software, time, maker note, serials, position and thumbnail; both byte orders, broken for some."""
+    import struct
+
+    key = F.col("p_partkey")
+    texts = {
+        "model": F.concat(F.lit("M"), F.lpad((key % 10000).cast("string"), 4, "0")),
+        "time": F.concat(F.lit("2024:01:02 03:04:"), F.lpad((key % 60).cast("string"), 2, "0")),
+        "serial": F.concat(F.lit("SN"), F.lpad((key % 1000000).cast("string"), 6, "0")),
+    }
+    orders = []
+    for order in ("<", ">"):
+        little = order == "<"
+        number = lambda v, n=8, little=little: F.concat(*(_hex(F.shiftright(v, 8 * i) % 256, 2) for i in (range(n // 2) if little else range(n // 2 - 1, -1, -1))))
+        fixed = lambda *v, order=order: F.lit(bytearray(b"".join(struct.pack(order + k, x) for k, x in v)))
+        entry = lambda tag, kind, n, value, fixed=fixed: F.concat(fixed(("H", tag), ("H", kind), ("I", n)), value)
+        at = lambda v, fixed=fixed: fixed(("I", v))
+        inline = lambda text: F.lit(bytearray(text.ljust(4, b"\0")))
+        short = lambda v, fixed=fixed: fixed(("H", v), ("H", 0))
+        side = lambda odd, even: F.when(key % 2 == 1, inline(odd)).otherwise(inline(even))
+        ratio = lambda v, number=number, fixed=fixed: F.concat(number(v), fixed(("I", 1)))
+        count = lambda n, fixed=fixed: fixed(("H", n))
+        magic = F.when(key % 50 == 49, F.lit(bytearray(b"XX"))).otherwise(F.lit(bytearray(b"II" if little else b"MM")))
+        pieces = [
+            magic, fixed(("H", 42), ("I", 8)),
+            count(7), entry(0x010F, 2, 4, inline(b"Cam")), entry(0x0110, 2, 6, at(224)), entry(0x0112, 3, 1, short(6)), entry(0x0131, 2, 4, inline(b"Sw1")), entry(0x0132, 2, 20, at(230)), entry(0x8769, 4, 1, at(128)), entry(0x8825, 4, 1, at(170)), at(98),
+            count(2), entry(0x0201, 4, 1, at(308)), entry(0x0202, 4, 1, number(key % 500 + 1)), at(0),
+            count(3), entry(0x927C, 7, 4, inline(b"note")), entry(0xA431, 2, 9, at(250)), entry(0xA435, 2, 3, inline(b"L1")), at(0),
+            count(4), entry(0x0001, 2, 2, side(b"S", b"N")), entry(0x0002, 5, 3, at(260)), entry(0x0003, 2, 2, side(b"w", b"E")), entry(0x0004, 5, 3, at(284)), at(0),
+            *(F.concat(texts[t].cast("binary"), F.lit(bytearray(1))) for t in ("model", "time", "serial")), F.lit(bytearray(1)),
+            ratio(key % 90), ratio(key % 4 * 15), ratio(F.lit(36)), ratio(key % 180), ratio(F.lit(15)), ratio(F.lit(18)),
+        ]
+        orders.append(F.concat(*pieces))
+    return F.when(key % 4 < 2, orders[0]).otherwise(orders[1])
+
+
+def _exif_files(spark, sf_dir):
+    """A JPEG, PNG or WebP for each part that holds an EXIF block of 308 bytes; every second WebP's begins with the prefix that a JPEG's has."""
+    key, raw = F.col("p_partkey"), lambda digits: F.unhex(F.lit(digits))
+    block, prefix = F.col("block"), F.lit(bytearray(M.EXIF_PREFIX))
+    jpeg = F.concat(raw(_JPEG_HEAD), raw("FFE1013C"), prefix, block, raw(_JPEG_TAIL))
+    png = F.concat(F.lit(bytearray(M.PNG_SIGNATURE)), raw("0000000D49484452" + "00" * 13 + "2E90680F"), raw("0000013465584966"), block, raw("00000000"), raw("0000000049454E44AE426082"))
+    webp = lambda n, held: F.concat(raw("52494646"), raw(f"{(12 + 8 + n).to_bytes(4, 'little').hex()}"), raw("574542505650382000000000"), F.lit(bytearray(b"EXIF")), raw(n.to_bytes(4, "little").hex()), held)
+    made = F.when(key % 3 == 0, jpeg).when(key % 3 == 1, png).when(key % 2 == 0, webp(308, block)).otherwise(webp(314, F.concat(prefix, block)))
+    return table(spark, sf_dir, "part").withColumn("block", _tiff()).select(key.alias("file_id"), made.alias("content"))
+
+
+_EXIF_SQL = (
+    ("'exif-gps'", "printf('%.5f', (CASE WHEN k % 2 = 1 THEN -1 ELSE 1 END) * (k % 90 + (k % 4) / 4.0 + 0.01)) || ', ' || printf('%.5f', (CASE WHEN k % 2 = 1 THEN -1 ELSE 1 END) * (k % 180 + 0.255))"),
+    ("'exif-thumbnail'", "(k % 500 + 1) || ' bytes; may predate later edits of the picture.'"),
+    ("'exif-device'", "'Cam M' || lpad((k % 10000)::VARCHAR, 4, '0')"),
+    ("'exif-serial'", "'SN' || lpad((k % 1000000)::VARCHAR, 6, '0') || ', L1'"),
+    ("'exif-timestamp'", "'2024:01:02 03:04:' || lpad((k % 60)::VARCHAR, 2, '0')"),
+    ("'exif-software'", "'Sw1'"),
+    ("'exif-makernote'", "'Opaque bytes in the format of one vendor.'"),
+)
+
+
+@query(
+    "q_exif_findings",
+    "WITH f AS (SELECT p_partkey AS k FROM part) "
+    + " UNION ALL ".join(f"SELECT k AS file_id, {i}::BIGINT AS ord, {ident} AS id, {detail} AS detail FROM f WHERE k % 50 <> 49" for i, (ident, detail) in enumerate(_EXIF_SQL))
+    + """ UNION ALL SELECT k, 0, CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN 'png-' ELSE 'webp-' END || 'exif-unreadable', CASE WHEN k % 3 = 0 OR (k % 3 = 2 AND k % 2 = 1) THEN 314 ELSE 308 END || ' bytes that do not parse; a strip drops the whole block.' FROM f WHERE k % 50 = 49""",
+)
+def exif_findings(spark, sf_dir):
+    """What EXIF blocks of files tell, in both byte orders and all containers; and what is found again after a strip: nothing."""
+    files = _exif_files(spark, sf_dir)
+    found = O.findings(files, containers.segments(spark, files)).select("file_id", F.col("ord").cast("bigint").alias("ord"), "id", "detail")
+    stripped = O.strip(files).where("content is not null")
+    return found.unionByName(O.findings(stripped, containers.segments(spark, stripped)).select("file_id", F.col("ord").cast("bigint").alias("ord"), "id", "detail"))

@@ -206,3 +206,18 @@ def size_budget(spark, sf_dir):
     totals = _sizes(spark, sf_dir).groupBy("category").agg(F.sum("size").alias("total"))
     verdict = F.when(F.col("most").isNull(), "no budget").when(F.col("total") > F.col("most"), "over").otherwise("ok")
     return totals.join(F.broadcast(budget), "category", "left").select("category", verdict.alias("verdict"))  # two rows
+
+
+@query(
+    "q_strip_document",
+    """SELECT p_partkey AS doc, 5::BIGINT AS objects, 5::BIGINT AS edges, '' AS title, false AS dated, 1 + (p_partkey + 1) % 2 AS cut FROM part WHERE p_partkey % 7 <> 0""",
+)
+def strip_document(spark, sf_dir):
+    """PDF files through the whole strip on tables: objects and references that are left, the information that isn't, and how many references went."""
+    parts = pdf.structure(saver(spark)(pdf.pdf_objects(spark, _pdf_files(spark, sf_dir))))
+    kept, edges, info = D.strip_all(parts.objects, parts.edges, parts.info, parts.roots)
+    before = parts.edges.groupBy("doc").agg(F.count("*").alias("all"))
+    left = edges.groupBy("doc").agg(F.count("*").alias("edges"))
+    dated = F.lit(any(c in info.columns for c in D.DATE_KEYS)).alias("dated")
+    out = kept.groupBy("doc").agg(F.count("*").alias("objects")).join(left, "doc").join(before, "doc").join(info.select("doc", F.col("Title").alias("title")), "doc")
+    return out.select("doc", "objects", "edges", "title", dated, (F.col("all") - F.col("edges")).alias("cut"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from redactlake.functions import text as T
+from redactlake.operators import glyphs as G
 from redactlake.operators import verify as V
 from redactlake.plans.registry import query, table
 
@@ -154,3 +155,27 @@ def haystack_offsets(spark, sf_dir):
 def match_spans(spark, sf_dir):
     spans = V.match_spans(V.haystack_offsets(_lines(spark, sf_dir)), "and  the")
     return spans.select("doc", *(F.col(c).cast("bigint").alias(c) for c in ("seq", "match_start", "from_char", "to_char")))
+
+
+_ADVANCE = "CASE WHEN ascii(c) BETWEEN 32 AND 126 THEN ascii(c) * 7 % 400 + 200 ELSE 500 END"
+_LENGTH = f"list_sum(list_transform(string_split({{0}}, ''), lambda c: {_ADVANCE}))"
+
+
+@query(
+    "q_glyph_extents",
+    f"""WITH p AS ({_PLACED}), h AS (SELECT doc, CASE WHEN min(start) > 0 THEN ' ' ELSE '' END || string_agg(lower(str), ' ' ORDER BY seq) AS hay FROM p GROUP BY doc),
+    s AS (SELECT doc, string_split(hay, 'and the') AS parts FROM h WHERE contains(hay, 'and the')),
+    m AS (SELECT doc, unnest(list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda x: length(x)))::BIGINT + 7 * (i - 1))) AS place FROM s),
+    t AS (SELECT p.doc, p.seq, str, place, (greatest(place, start) - start)::BIGINT AS a, (least(place + 7, start + length(str)) - start)::BIGINT AS b FROM p JOIN m USING (doc) WHERE greatest(place, start) < least(place + 7, start + length(str))),
+    g AS (SELECT *, length(str) * 5.0 AS w, CASE WHEN a = 0 THEN 0.0 ELSE {_LENGTH.format("str[:a]")} END AS before, {_LENGTH.format("str[a + 1:b]")} AS inside, {_LENGTH.format("str")} AS total, greatest(612 * 0.0015, 10 * 0.08) AS margin FROM t)
+    SELECT doc, seq::BIGINT AS seq, place::BIGINT AS match_start, round(CASE WHEN a = 0 THEN 36.0 ELSE greatest(36.0, 36.0 + before * w / total - margin) END, 6)::DOUBLE AS left_x,
+    round(CASE WHEN b = length(str) THEN 36.0 + w ELSE least(36.0 + w, 36.0 + (before + inside) * w / total + margin) END, 6)::DOUBLE AS right_x FROM g""",
+)
+def glyph_extents(spark, sf_dir):
+    """How far a match reaches within its line, by a font's advances scaled to the line's width."""
+    code = F.sequence(F.lit(32), F.lit(126))
+    advances = spark.range(1).select(F.explode(code).alias("c")).select(F.char("c").alias("ch"), (F.col("c") * 7 % 400 + 200).alias("advance"))
+    lines = _lines(spark, sf_dir)
+    runs = lines.select("doc", "page", "seq", "str", F.lit(36.0).alias("origin"), (F.length("str") * 5.0).alias("width"), F.lit(10.0).alias("height"), F.lit("ltr").alias("dir"))
+    found = G.extents(V.match_spans(V.haystack_offsets(lines), "and  the"), runs, F.broadcast(advances), F.lit(612.0))  # 95 rows
+    return found.select("doc", F.col("seq").cast("bigint").alias("seq"), F.col("match_start").cast("bigint").alias("match_start"), F.round("left", 6).alias("left_x"), F.round("right", 6).alias("right_x"))

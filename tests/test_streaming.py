@@ -44,3 +44,41 @@ def test_windows_close_behind_the_watermark(spark, tmp_path, data, table):
     query.awaitTermination(120)
     assert query.exception() is None and rows
     assert len({(r.starts, r.event_type) for r in rows}) == len(rows)
+
+
+def test_a_silent_worker_fails_its_whole_queue_across_restarts(spark, tmp_path):
+    from redactlake.streaming.requests import settled
+
+    at = lambda s: f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}"
+    batches = [
+        [(1, 1, "ask", at(0)), (1, 2, "ask", at(5)), (2, 7, "ask", at(0)), (3, 1, "ask", at(1))],
+        [(1, 2, "reply", at(8)), (2, 7, "reply", at(9)), (3, None, "crash", at(9)), (3, 5, "ask", at(10)), (3, 5, "reply", at(11))],
+        [(9, 1, "ask", at(300))],  # time goes on: what key 1 still waits for is lost
+        [(9, 1, "reply", at(301)), (1, 1, "reply", at(302)), (1, 3, "ask", at(302))],
+        [(1, 3, "reply", at(303)), (8, 1, "ask", at(500))],
+    ]
+    got = run(spark, tmp_path, batches, "key long, id long, kind string, ts string", settled, "append")
+    assert sorted(got) == [(1, 1, "failed"), (1, 2, "answered"), (1, 3, "answered"), (2, 7, "answered"), (3, 1, "failed"), (3, 5, "answered"), (9, 1, "answered")]
+
+
+def test_progress_of_a_batch_and_of_a_stream(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from redactlake.streaming import progress as P
+
+    rows, watch = P.observed(spark.range(100), F.col("id") % 4 == 0)
+    assert rows.groupBy((F.col("id") % 2).alias("k")).count().count() == 2 and watch.get == {"done": 25, "total": 100}
+    told = []
+    listener = P.Progress(lambda *row: told.append(row))
+    spark.streams.addListener(listener)
+    try:
+        got = run(spark, tmp_path, [[(1, True), (2, None)], [(3, True), (4, True), (5, False)]], "page long, ok boolean", lambda s: P.watched(s, "pages", F.col("ok")), "append")
+        for _ in range(50):
+            if len([t for t in told if t[3]]) == 2:
+                break
+            import time
+
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert len(got) == 5 and [t for t in told if t[3]] == [("pages", 0, 1, 2), ("pages", 1, 2, 3)]
