@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the session's checkpoints."""
+    saver(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def saver(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
     """Writes a round to the session's checkpoint folder, which all executors share, and cuts its lineage.
 

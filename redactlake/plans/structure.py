@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from redactlake.operators import documents as D
-from redactlake.operators.rounds import saver
+from redactlake.operators import export as E
+from redactlake.operators.rounds import saver, shared_folder
 from redactlake.plans.registry import query, table
 from redactlake.sources import pdf
 
@@ -221,3 +222,20 @@ def strip_document(spark, sf_dir):
     dated = F.lit(any(c in info.columns for c in D.DATE_KEYS)).alias("dated")
     out = kept.groupBy("doc").agg(F.count("*").alias("objects")).join(left, "doc").join(before, "doc").join(info.select("doc", F.col("Title").alias("title")), "doc")
     return out.select("doc", "objects", "edges", "title", dated, (F.col("all") - F.col("edges")).alias("cut"))
+
+
+@query(
+    "q_export",
+    """SELECT p_partkey AS doc, p_partkey % 2 AS batch, CASE WHEN p_partkey % 7 = 0 OR p_partkey % 10 = 3 THEN 'refused' ELSE 'published' END AS status,
+    CASE WHEN p_partkey % 10 = 3 THEN '1 pages to render' WHEN p_partkey % 7 = 0 THEN 'encrypted' END AS reason, CASE WHEN NOT (p_partkey % 7 = 0 OR p_partkey % 10 = 3) THEN '1 2 4 5 7' END AS objects FROM part""",
+)
+def export(spark, sf_dir):
+    """PDF files exported in two batches, one of them played twice: what became of each, and the objects of those published."""
+    folder = shared_folder(spark, "export")
+    files = _pdf_files(spark, sf_dir)
+    plan = files.where("file_id % 10 = 3").select(F.col("file_id").alias("doc"), F.lit(1).alias("page"), F.lit("raster").alias("route"), F.lit(None).cast("string").alias("error"))
+    for batch in (0, 1, 0):
+        E.publish(files.where(F.col("file_id") % 2 == batch), folder, batch, plan)
+    rows = pdf.pdf_objects(spark, E.published(spark, folder))
+    held = rows.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_list(F.shiftright("obj", 16))).cast("array<string>"), " ").alias("objects"))
+    return E.manifest(spark, folder).select(F.col("file_id").alias("doc"), "batch", "status", "reason").join(held, "doc", "left")
