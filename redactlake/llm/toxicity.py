@@ -2,7 +2,8 @@
 
 Categories are predicted in a fixed order. Each one's logistic model sees which words a text has and the
 log odds that the chain gave for the categories before it. In training these come from models that had not
-seen the text: out-of-fold predictions over folds by id.
+seen the text: out-of-fold predictions over folds by id. A category's folds are fitted at the same time, each
+in a task of its own over the broadcast sample, whose size is bounded.
 """
 
 from __future__ import annotations
@@ -132,6 +133,37 @@ def best_limit(log_odds: np.ndarray, y: np.ndarray) -> float:
     return float((log_odds[order[at]] + after) / 2)
 
 
+def fit_chain(spark: SparkSession, x: Sparse, fold: np.ndarray, targets: list[np.ndarray], size: int) -> tuple[list[Linear], list[float]]:
+    """The models of the categories, in order, and the log odds from which each is predicted.
+
+    For each category a task fits a fold's model and applies it to that fold, and one more fits the model of all rows.
+    """
+    sample = spark.sparkContext.broadcast((x, fold))
+    before = np.zeros((len(fold), 0))
+    models, limits = [], []
+    for y in targets:
+        step = spark.sparkContext.broadcast((before, y))
+
+        def fit(batches: Iterator[pa.RecordBatch], step=step) -> Iterator[pa.RecordBatch]:
+            (rows, of), (given, wanted) = sample.value, step.value
+            for batch in batches:
+                for k in batch.column("id").to_pylist():
+                    rest, own = np.flatnonzero(of != k), np.flatnonzero(of == k)
+                    model = fit_linear(rows.take(rest), given[rest], wanted[rest], size)
+                    made = model.log_odds(rows.take(own), given[own]) if k < FOLDS else np.r_[model.weights, model.chained, model.bias]
+                    yield pa.record_batch([pa.array([k]), pa.array([made.tobytes()], pa.binary())], ["id", "made"])
+
+        # number FOLDS is no row's fold: its model is that of all rows
+        made = {r.id: np.frombuffer(r.made) for r in spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(fit, "id bigint, made binary").collect()}
+        out = np.zeros(len(fold))
+        for k in range(FOLDS):
+            out[fold == k] = made[k]
+        models.append(Linear(made[FOLDS][:size], made[FOLDS][size:-1], float(made[FOLDS][-1])))
+        limits.append(best_limit(out, y))
+        before = np.c_[before, clipped(out)]
+    return models, limits
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE_ROWS) -> Chain | None:
     """Fits the chain in the order of categories, columns of labels that hold 0 or 1; None without rows of both classes.
 
@@ -170,17 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_column:
 
     table = rows.mapInArrow(encoded, "fold bigint, " + ", ".join(f"{y} int" for y in ys) + ", ids array<int>").toArrow().sort_by([("fold", "ascending"), *((y, "ascending") for y in ys)])  # bounded by the sample and the features
     x, fold = Sparse.of([np.array(v, np.int64) for v in table.column("ids").to_pylist()]), table.column("fold").to_numpy() % FOLDS
-    before = np.zeros((len(fold), 0))
-    models, limits = [], []
-    for y in ys:
-        labels_y = table.column(y).to_numpy().astype(np.float64)
-        out = np.zeros(len(fold))
-        for k in range(FOLDS):
-            rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-            out[own] = fit_linear(x.take(rest), before[rest], labels_y[rest], len(vocabulary)).log_odds(x.take(own), before[own])
-        models.append(fit_linear(x, before, labels_y, len(vocabulary)))
-        limits.append(best_limit(out, labels_y))
-        before = np.c_[before, clipped(out)]
+    targets = [table.column(y).to_numpy().astype(np.float64) for y in ys]
+    models, limits = fit_chain(docs.sparkSession, x, fold, targets, len(vocabulary))
     return Chain(categories, vocabulary, models, limits)
 
 

@@ -481,6 +481,45 @@ def test_toxicity_held_out(spark):
     assert toxicity.classify(docs.limit(0), chain).count() == 0
 
 
+def plain_logistic(rows, before, y, size):
+    """The same loss, written out on dense rows and minimised by Newton's method."""
+    n, positive = len(y), max(1, y.sum())
+    dense = np.zeros((n, size))
+    for i, r in enumerate(rows):
+        dense[i, r] = 1
+    each = np.where(y == 1, n / (2 * positive), n / (2 * max(1, n - positive)))
+    ratio = np.log((y @ dense + 1) / (positive + 2)) - np.log(((1 - y) @ dense + 1) / (max(1, n - positive) + 2))
+    full = np.c_[dense * ratio, before, np.ones(n)]
+    keep = np.r_[np.ones(full.shape[1] - 1), 0] * toxicity.PENALTY / n
+    v = np.zeros(full.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-full @ v))
+        slope = full.T @ ((p - y) * each / n) + keep * v
+        v -= np.linalg.solve(full.T @ (full * (p * (1 - p) * each / n)[:, None]) + np.diag(keep + 1e-9), slope)
+    return lambda rows, before: np.array([sum(v[j] * ratio[j] for j in r) for r in rows]) + before @ v[size:-1] + v[-1]
+
+
+def test_chain_and_folds_equal_a_plain_chain(spark):
+    rng = np.random.default_rng(6)
+    n, size = 240, 30
+    rows = [np.unique(rng.integers(0, size, 8)) for _ in range(n)]
+    first = np.array([float((3 in r) ^ (rng.random() < 0.1)) for r in rows])
+    second = np.array([float((f == 1 and 7 in r) ^ (rng.random() < 0.05)) for r, f in zip(rows, first, strict=True)])
+    fold = rng.integers(0, toxicity.FOLDS, n)
+    models, limits = toxicity.fit_chain(spark, toxicity.Sparse.of(rows), fold, [first, second], size)
+    before = np.zeros((n, 0))
+    for y, model, limit in zip((first, second), models, limits, strict=True):
+        out = np.zeros(n)
+        for k in range(toxicity.FOLDS):
+            rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+            out[own] = plain_logistic([rows[i] for i in rest], before[rest], y[rest], size)([rows[i] for i in own], before[own])
+        want = plain_logistic(rows, before, y, size)(rows, before)
+        assert np.abs(model.log_odds(toxicity.Sparse.of(rows), before) - want).max() < 0.02
+        f1 = lambda at, out=out, y=y: 2 * y[out >= at].sum() / ((out >= at).sum() + y.sum())
+        assert f1(limit) >= max(f1(at) for at in out) - 0.01
+        before = np.c_[before, np.clip(out, -6, 6)]
+
+
 # 7
 
 
