@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from redactlake.operators import sketches as S
 from redactlake.plans.registry import query, table
 
 
@@ -52,3 +53,18 @@ def cube(spark, sf_dir):
 def json_props(spark, sf_dir):
     k = F.from_json("props", "k bigint")["k"] % 10
     return table(spark, sf_dir, "events").groupBy("event_type", k.alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("q_ext_sketches", "SELECT event_type, count(*) AS n, true AS distinct_ok, true AS ranks_ok FROM events GROUP BY event_type")
+def sketches(spark, sf_dir):
+    """Sketches by hour, rolled up to types: whether distinct users are within 5 % of the exact number, and the estimated quartiles within 3 % of their ranks."""
+    events = table(spark, sf_dir, "events").where("value is not null")
+    hourly = S.sketched(events.withColumn("hour", F.date_trunc("hour", "ts")), ["event_type", "hour"], "user_id", "value")
+    found = S.estimates(S.rolled(hourly, ["event_type"]), (0.25, 0.5, 0.75))
+    joined = events.join(F.broadcast(found.select(F.col("event_type").alias("of"), "n_distinct", "quantiles")), F.col("event_type") == F.col("of"))  # one row a type
+    below = [F.avg((F.col("value") <= F.col("quantiles")[i]).cast("double")) for i in range(3)]
+    exact = joined.groupBy("event_type").agg(F.count_distinct("user_id").alias("exact"), F.first("n_distinct").alias("about"), F.array(*below).alias("below"))
+    distinct_ok = F.abs(F.col("about") - F.col("exact")) <= 0.05 * F.col("exact")
+    ranks_ok = F.forall(F.arrays_zip("below", F.array(*map(F.lit, (0.25, 0.5, 0.75))).alias("rank")), lambda x: F.abs(x["below"] - x["rank"]) <= 0.03)
+    n = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return n.join(exact, "event_type").select("event_type", "n", distinct_ok.alias("distinct_ok"), ranks_ok.alias("ranks_ok"))

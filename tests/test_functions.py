@@ -112,3 +112,16 @@ def test_exif_segment_in_the_first_64_kib(spark):
     hit = b"\xff\xe1\x00\n" + b"Exif\0\0"
     rows = spark.createDataFrame([(1, bytearray(b"ab" + hit)), (2, bytearray(bytes(70000) + hit)), (3, bytearray(b"\xff\xe1Exif\0\0"))], "id int, c binary")
     assert [r.v for r in rows.orderBy("id").select(has_exif_segment(F.col("c")).alias("v")).collect()] == [True, False, False]
+
+
+def test_sketches_of_parts_merge_into_those_of_the_whole(spark):
+    from pyspark.sql import functions as F
+
+    from redactlake.operators import sketches as S
+
+    rows = spark.range(20_000).select((F.col("id") % 3).alias("k"), (F.col("id") % 7).alias("part"), (F.col("id") % 5_000).alias("who"), F.when(F.col("id") % 11 > 0, F.col("id")).alias("value"))
+    found = S.estimates(S.rolled(S.sketched(rows, ["k", "part"], "who", "value"), ["k"]), (0.0, 0.5, 1.0)).collect()
+    assert len(found) == 3
+    for r in found:
+        assert r.n in (6666, 6667) and abs(r.n_distinct - 5000) <= 250
+        assert abs(r.quantiles[1] - 10_000) <= 600 and r.quantiles[0] <= 3 and r.quantiles[2] >= 19_990
