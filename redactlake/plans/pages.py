@@ -44,7 +44,7 @@ _SEEN = """SELECT p_partkey AS doc, 1 AS page, 4 AS obj, 140.0 AS a, 630.0 AS b,
     SELECT p_partkey, 3, 5, p_partkey % 400 + 200, 700, 0 FROM part"""
 
 
-@query("q_pdf_pages", f"SELECT doc, page, obj, rotate::INTEGER AS rotate, (CASE WHEN rotate IN (90, 270) THEN b ELSE a END)::DOUBLE AS width, (CASE WHEN rotate IN (90, 270) THEN a ELSE b END)::DOUBLE AS height FROM ({_SEEN})")
+@query("q_pdf_pages", f"SELECT doc, page, obj::BIGINT AS obj, rotate::INTEGER AS rotate, (CASE WHEN rotate IN (90, 270) THEN b ELSE a END)::DOUBLE AS width, (CASE WHEN rotate IN (90, 270) THEN a ELSE b END)::DOUBLE AS height FROM ({_SEEN})")
 def pdf_pages(spark, sf_dir):
     """Pages of PDF files in order, with their size as seen, from boxes and rotations that parents hand down."""
     tree = _tree(spark, saver(spark)(pdf.pdf_objects(spark, _files(spark, sf_dir))))
