@@ -30,7 +30,8 @@ def _files(spark, sf_dir):
         "10 0 obj<</Length 0>>stream\nq 2 0 0 3 5 7 cm BT /F2 8 Tf 1 0 0 1 ", key % 50, " 100 Tm <000100020040> Tj\nendstream endobj\n11 0 obj<</Length 0>>stream\nET Q BT /F1 20 Tf 50 Tz 9 Ts 0 1 -1 0 60 70 Tm (up) Tj ET\nendstream endobj\ntrailer<</Root 1 0 R>>",
     )
     content = F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in pieces)).cast("binary")
-    return table(spark, sf_dir, "part").select(key.alias("file_id"), content.alias("content"))
+    files = table(spark, sf_dir, "part").select(key.alias("file_id"), content.alias("content"))
+    return files.repartition(spark.sparkContext.defaultParallelism)  # the table is small, what it is made into isn't
 
 
 def _tree(spark, rows):

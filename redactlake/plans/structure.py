@@ -143,7 +143,8 @@ def _pdf_files(spark, sf_dir):
         F.col("p_name"), ")/CreationDate(D:20240102030405+01'00')>>endobj\ntrailer<</Root 1 0 R/Info 7 0 R", F.when(key % 7 == 0, "/Encrypt 8 0 R").otherwise(""), ">>",
     )
     content = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in pieces)).cast("binary")
-    return table(spark, sf_dir, "part").select(key.alias("file_id"), content.alias("content"))
+    files = table(spark, sf_dir, "part").select(key.alias("file_id"), content.alias("content"))
+    return files.repartition(spark.sparkContext.defaultParallelism)  # the table is small, what it is made into isn't
 
 
 @query(
