@@ -289,6 +289,63 @@ def test_every_pair_of_texts_that_share_a_passage_can_be_asked_for(spark):
     assert sorted((r.a, r.b) for r in got) == [(a, b) for a in range(30) for b in range(a + 1, 30)]
 
 
+def words_of(seed):
+    rng = np.random.default_rng(seed)
+    return lambda n: ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n)]
+
+
+def test_no_class_is_lost_to_a_line_that_all_texts_share(spark):
+    """150 pairs of passages, each with the line that all have in its middle and an edit on either side of it."""
+    words, rng = words_of(21), np.random.default_rng(22)
+    line, rows = words(48), []
+    for k in range(150):
+        before, behind = words(24), words(24)
+        for d in range(2):
+            passage = [*before, *line, *behind]
+            if d:
+                passage[int(rng.integers(5, 15))], passage[int(rng.integers(80, 90))] = words(2)
+            rows.append((2 * k + d, " ".join([*words(int(rng.integers(10, 40))), *passage, *words(30)])))
+    found = passages.repeated_passages(docs_of(spark, rows)).collect()
+    texts = {d: np.array([hash(w) & (1 << 63) - 1 for w in t.split()], np.uint64) for d, t in rows}
+    want = {(2 * k, 2 * k + 1) for k in range(150) if passages.common_passages(texts[2 * k], texts[2 * k + 1])}
+    assert len(want) > 140 and want <= {(r.a, r.b) for r in found}
+    assert {(r.a, r.b, r.class_id) for r in found} == {(a, b, a) for a, b in want}
+
+
+def test_classes_equal_those_of_all_pairs(spark):
+    """Random families of passages with edits, beside lines of many lengths that others share, copies of whole texts and repeated ids."""
+    words, rng = words_of(31), np.random.default_rng(32)
+    lines = [words(int(n)) for n in rng.integers(8, 49, 6)]
+    rows = []
+    for _ in range(30):
+        passage = [*words(int(rng.integers(10, 40))), *lines[rng.integers(6)], *words(int(rng.integers(30, 50)))]
+        for _ in range(rng.integers(1, 5)):
+            made = passage.copy()
+            for i in rng.integers(0, len(made), rng.integers(0, 3)):
+                made[i : i + 1] = words(int(rng.integers(0, 3)))
+            rows.append((len(rows) * 3 + 1, " ".join([*words(int(rng.integers(0, 30))), *lines[rng.integers(6)], *words(5), *made, *words(int(rng.integers(0, 30)))])))
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(rows[::5])] + [(2000 + i % 3, rows[7][1]) for i in range(9)] + [(rows[3][0], rows[40][1])]
+    texts = defaultdict(list)
+    for d, t in rows:
+        texts[d].append(passages.Shingled(np.array([hash(w) & (1 << 63) - 1 for w in t.split()], np.uint64)))
+    parent = {d: d for d in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    linked = set()
+    for a in texts:
+        for b in (b for b in texts if b > a):
+            if any(passages.common_passages(s, t) for s in texts[a] for t in texts[b]):
+                linked |= {a, b}
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    found = passages.repeated_passages(docs_of(spark, rows)).collect()
+    assert {(d, r.class_id) for r in found for d in (r.a, r.b)} == {(d, find(d)) for d in linked}
+
+
 def test_words_hashed_in_bulk_equal_words_hashed_one_by_one(monkeypatch):
     rng = np.random.default_rng(7)
     letters = list("abAB\x00\xa0\u0120é")
