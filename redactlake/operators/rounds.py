@@ -15,6 +15,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """df with the hint that it be joined by sort-merge.
+
+    Spark sizes what is made from a file, saved rounds too, by the file that it came from: of rows that a small table is
+    read or unpacked to it knows nothing, so it would collect tables of any size in the driver to broadcast them.
+    """
+    return df.hint("merge")
+
+
 def saver(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
     """Writes a round to the session's checkpoint folder, which all executors share, and cuts its lineage.
 

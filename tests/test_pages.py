@@ -257,3 +257,15 @@ def test_reachable_at_any_depth(spark):
     got = D.reachable(edges, roots).groupBy("doc").agg(F.count("*"), F.count_distinct("obj")).collect()
     assert sorted(map(tuple, got)) == [(1, 3001, 3001), (2, 1, 1), (4, 1, 1)]
     assert D.reachable(edges, roots.where("false")).count() == 0
+
+
+def broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_no_table_that_grows_with_the_pages_is_sent_to_the_driver(spark):
+    """Saved rounds are sized by the small file they come from, so a plan would broadcast them whatever their rows."""
+    nodes, roots, _, _ = tables(spark, {i: built(NESTED) for i in range(3)})
+    rounds = []
+    P.page_tree(nodes, roots, lambda df: rounds.append(broadcasts(df)) or df.checkpoint())
+    assert len(rounds) > 1 and not any(rounds)
