@@ -265,7 +265,8 @@ def broadcasts(df):
 
 def test_no_table_that_grows_with_the_pages_is_sent_to_the_driver(spark):
     """Saved rounds are sized by the small file they come from, so a plan would broadcast them whatever their rows."""
-    nodes, roots, _, _ = tables(spark, {i: built(NESTED) for i in range(3)})
+    nodes, roots, fonts, operators = tables(spark, {i: built(NESTED) for i in range(3)})
     rounds = []
-    P.page_tree(nodes, roots, lambda df: rounds.append(broadcasts(df)) or df.checkpoint())
+    tree = P.page_tree(nodes, roots, lambda df: rounds.append(broadcasts(df)) or df.checkpoint())
     assert len(rounds) > 1 and not any(rounds)
+    assert broadcasts(P.page_runs(tree, operators, fonts)) == 0
