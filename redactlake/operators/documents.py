@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from redactlake.functions import text as T
 from redactlake.functions.geometry import MAX_RASTER_PAGES
+from redactlake.operators.rounds import unsent
 from redactlake.operators.verify import has_text_layer
 
 INFO_KEYS = ("Title", "Author", "Subject", "Keywords", "Producer", "Creator")
@@ -63,7 +64,7 @@ def object_counts(objects: DataFrame, inline_annotations: DataFrame | None = Non
         (count(of.isin("OCG", "OCMD")) + count((of == "Catalog") & has("OCProperties"))).alias("ocg"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
-    joined = rest.join(per_doc, "doc", "left")
+    joined = rest.join(unsent(per_doc), "doc", "left")
     return joined.select("doc", "xmp", zero(F.col("all") - F.col("links")).alias("annots"), zero(F.col("links")).alias("links"), "attachments", "javascript", "exif", zero(F.col("pieceinfo")).alias("pieceinfo"), "ocg")
 
 
@@ -83,7 +84,7 @@ def audit(counts: DataFrame, pages: DataFrame, encrypted: Column | None = None)
     """
     found = count_findings(counts, encrypted).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "severity", "n"))).alias("findings"))  # at most one of each kind
     docs = counts.select("doc").unionByName(pages.select("doc")).distinct()
-    joined = docs.join(found, "doc", "left").join(has_text_layer(pages), "doc", "left")
+    joined = docs.join(unsent(found), "doc", "left").join(unsent(has_text_layer(pages)), "doc", "left")
     empty = F.array().cast("array<struct<ord:int,id:string,severity:string,n:bigint>>")
     return joined.select("doc", F.coalesce("findings", empty).alias("findings"), F.coalesce("has_text", F.lit(False)).alias("has_text"))
 
@@ -114,7 +115,7 @@ def strip_edges(objects: DataFrame, edges: DataFrame) -> DataFrame:
         gone = gone | ((F.col("_type") == kind) & F.col("key").isin(*keys))
     gone = gone | (F.col("_kind").isin("stream", "exif-image") & (F.col("key") == "Metadata"))
     holders = objects.select(F.col("doc").alias("_doc"), F.col("obj").alias("_obj"), F.col("type").alias("_type"), F.col("kind").alias("_kind"))
-    joined = edges.join(holders, (F.col("doc") == F.col("_doc")) & (F.col("src") == F.col("_obj")), "left")
+    joined = edges.join(unsent(holders), (F.col("doc") == F.col("_doc")) & (F.col("src") == F.col("_obj")), "left")
     return joined.where(~F.coalesce(gone, F.lit(False))).select(*edges.columns)
 
 
@@ -185,10 +186,10 @@ def page_objects(tree: DataFrame, objects: DataFrame, edges: DataFrame) -> DataF
     resources the page inherits, if they aren't its own. A page's reference to its parent isn't followed.
     """
     pages = objects.where("type = 'Page'").select(F.col("doc").alias("_doc"), F.col("obj").alias("_obj"))
-    upward = edges.where("key = 'Parent'").join(pages, (F.col("doc") == F.col("_doc")) & (F.col("src") == F.col("_obj")), "left_anti")
+    upward = edges.where("key = 'Parent'").join(unsent(pages), (F.col("doc") == F.col("_doc")) & (F.col("src") == F.col("_obj")), "left_anti")
     followed = edges.where("key is null or key <> 'Parent'").unionByName(upward).select("doc", "src", "dst")
     given = edges.where("key = 'Resources'").select(F.col("doc").alias("_doc"), F.col("src").alias("_src"), "dst")
-    inherited = tree.where("holder <> obj").join(given, (F.col("doc") == F.col("_doc")) & (F.col("holder") == F.col("_src"))).select("doc", F.col("obj").alias("src"), "dst")
+    inherited = tree.where("holder <> obj").join(unsent(given), (F.col("doc") == F.col("_doc")) & (F.col("holder") == F.col("_src"))).select("doc", F.col("obj").alias("src"), "dst")
     found = labelled_reachable(followed.unionByName(inherited), tree.select("doc", F.col("page").alias("label"), "obj"))
     return found.select("doc", F.col("label").alias("page"), "obj")
 
@@ -198,7 +199,7 @@ def page_split(held: DataFrame, plan: DataFrame) -> DataFrame:
 
     held(doc, page, obj) as page_objects(), plan(doc, page, route, error) as redaction_plan(); refused documents have no rows.
     """
-    joined = held.join(plan.where("route is not null").select("doc", "page", "route"), ["doc", "page"])
+    joined = held.join(unsent(plan.where("route is not null").select("doc", "page", "route")), ["doc", "page"])
     counts = joined.groupBy("doc", "obj").agg(F.count_if(F.col("route") == "copy").alias("copied"), F.count_if(F.col("route") == "raster").alias("raster"))
     return counts.withColumn("dropped", F.col("copied") == 0)
 
@@ -207,9 +208,9 @@ def collect_garbage(objects: DataFrame, edges: DataFrame, roots: DataFrame, chec
     """objects that are reachable; a document without roots keeps everything."""
     alive = reachable(edges, roots, checkpoint)
     rooted = roots.select(F.col("doc").alias("_doc")).distinct()
-    rootless = objects.join(rooted, F.col("doc") == F.col("_doc"), "left_anti")
+    rootless = objects.join(unsent(rooted), F.col("doc") == F.col("_doc"), "left_anti")
     alive = alive.select(F.col("doc").alias("_doc"), F.col("obj").alias("_obj"))
-    return objects.join(alive, (F.col("doc") == F.col("_doc")) & (F.col("obj") == F.col("_obj")), "left_semi").unionByName(rootless)
+    return objects.join(unsent(alive), (F.col("doc") == F.col("_doc")) & (F.col("obj") == F.col("_obj")), "left_semi").unionByName(rootless)
 
 
 def unreachable(objects: DataFrame, edges: DataFrame, roots: DataFrame, checkpoint=None) -> DataFrame:
@@ -232,7 +233,7 @@ def strip_all(objects: DataFrame, edges: DataFrame, info: DataFrame, roots: Data
     if "keys" in objects.columns:
         alive = alive.withColumn("keys", F.array_except("keys", gone))
     ends = alive.select(F.col("doc").alias("_doc"), F.col("obj").alias("_obj"))
-    kept_edges = kept_edges.join(ends, (F.col("doc") == F.col("_doc")) & (F.col("src") == F.col("_obj")), "left_semi")
+    kept_edges = kept_edges.join(unsent(ends), (F.col("doc") == F.col("_doc")) & (F.col("src") == F.col("_obj")), "left_semi")
     return alive, kept_edges, strip_info(info)
 
 
@@ -247,11 +248,11 @@ def redaction_plan(pages: DataFrame, rects: DataFrame, encrypted: DataFrame | No
     A document is refused if it is in encrypted(doc), or if over 300 of its pages would become images; one
     without a rectangle is copied page by page.
     """
-    out = page_routing(pages, rects).join(export_guard(rects).select("doc", F.col("error").alias("too_many")), "doc", "left")
+    out = page_routing(pages, rects).join(unsent(export_guard(rects).select("doc", F.col("error").alias("too_many"))), "doc", "left")
     if encrypted is None:
         return out.select("doc", "page", F.when(F.col("too_many").isNull(), F.col("route")).alias("route"), F.col("too_many").alias("error"))
     locked = encrypted.select("doc").distinct().withColumn("locked", F.lit(True))
-    out = out.join(locked, "doc", "left")
+    out = out.join(unsent(locked), "doc", "left")
     error = F.when(F.col("locked"), "encrypted").otherwise(F.col("too_many"))
     return out.select("doc", "page", F.when(error.isNull(), F.col("route")).alias("route"), error.alias("error"))
 
@@ -259,7 +260,7 @@ def redaction_plan(pages: DataFrame, rects: DataFrame, encrypted: DataFrame | No
 def page_routing(pages: DataFrame, rects: DataFrame) -> DataFrame:
     """(doc, page, route): raster for pages with a rectangle, copy for the others."""
     marked = rects.select("doc", "page").distinct().withColumn("_hit", F.lit(True))
-    return pages.select("doc", "page").join(marked, ["doc", "page"], "left").select("doc", "page", F.when(F.col("_hit"), "raster").otherwise("copy").alias("route"))
+    return pages.select("doc", "page").join(unsent(marked), ["doc", "page"], "left").select("doc", "page", F.when(F.col("_hit"), "raster").otherwise("copy").alias("route"))
 
 
 def export_guard(rects: DataFrame) -> DataFrame:
@@ -272,5 +273,5 @@ def apply_to_all_pages(pages: DataFrame, rects: DataFrame, current: int) -> Data
     """rects, and those of the current page on each other page of their document; duplicates stay."""
     here = rects.where(F.col("page") == current)
     others = pages.select(F.col("doc").alias("_doc"), F.col("page").alias("_page")).where(F.col("_page") != current)
-    copies = here.join(others, F.col("doc") == F.col("_doc")).select(*(F.col("_page").alias("page") if c == "page" else F.col(c) for c in rects.columns))
+    copies = here.join(unsent(others), F.col("doc") == F.col("_doc")).select(*(F.col("_page").alias("page") if c == "page" else F.col(c) for c in rects.columns))
     return rects.unionByName(copies)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from redactlake.operators import documents as D
 from redactlake.operators import export as E
-from redactlake.operators.rounds import saver, shared_folder
+from redactlake.operators.rounds import saver, shared_folder, unsent
 from redactlake.plans.registry import query, table
 from redactlake.sources import pdf
 
@@ -159,7 +159,7 @@ def pdf_objects(spark, sf_dir):
     parts = pdf.structure(rows)
     sizes = rows.groupBy("doc").agg(F.bool_or("encrypted").alias("encrypted"), F.count("obj").alias("objects"), F.sum(F.coalesce(F.size("refs"), F.lit(0))).alias("edges"))
     counts = D.object_counts(parts.objects, parts.annotations)
-    out = sizes.join(parts.info.select("doc", F.col("Title").alias("title")), "doc", "left").join(counts, "doc", "left")
+    out = sizes.join(unsent(parts.info.select("doc", F.col("Title").alias("title"))), "doc", "left").join(unsent(counts), "doc", "left")
     return out.select("doc", "encrypted", "title", "objects", F.greatest("edges", F.lit(0)).cast("bigint").alias("edges"), "xmp", "annots", "links")
 
 
@@ -169,7 +169,7 @@ def pdf_clean(spark, sf_dir):
     cleaned = saver(spark)(pdf.clean_files(_pdf_files(spark, sf_dir)))
     rows = pdf.pdf_objects(spark, cleaned.where("error is null"))
     left = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.shiftright("obj", 16))).alias("o"), F.max(F.element_at("strings", F.lit("Title"))).alias("title"))
-    return cleaned.select(F.col("file_id").alias("doc"), "error").join(left, "doc", "left").select("doc", F.coalesce(F.array_join(F.col("o").cast("array<string>"), " "), F.lit("")).alias("objects"), "error", "title")
+    return cleaned.select(F.col("file_id").alias("doc"), "error").join(unsent(left), "doc", "left").select("doc", F.coalesce(F.array_join(F.col("o").cast("array<string>"), " "), F.lit("")).alias("objects"), "error", "title")
 
 
 @query("q_uses_dct", "SELECT p_partkey, p_partkey % 4 IN (1, 2) AS dct FROM part")
@@ -221,7 +221,7 @@ def strip_document(spark, sf_dir):
     before = parts.edges.groupBy("doc").agg(F.count("*").alias("all"))
     left = edges.groupBy("doc").agg(F.count("*").alias("edges"))
     dated = F.lit(any(c in info.columns for c in D.DATE_KEYS)).alias("dated")
-    out = kept.groupBy("doc").agg(F.count("*").alias("objects")).join(left, "doc").join(before, "doc").join(info.select("doc", F.col("Title").alias("title")), "doc")
+    out = kept.groupBy("doc").agg(F.count("*").alias("objects")).join(unsent(left), "doc").join(unsent(before), "doc").join(unsent(info.select("doc", F.col("Title").alias("title"))), "doc")
     return out.select("doc", "objects", "edges", "title", dated, (F.col("all") - F.col("edges")).alias("cut"))
 
 
@@ -239,4 +239,4 @@ def export(spark, sf_dir):
         E.publish(files.where(F.col("file_id") % 2 == batch), folder, batch, plan)
     rows = pdf.pdf_objects(spark, E.published(spark, folder))
     held = rows.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_list(F.shiftright("obj", 16))).cast("array<string>"), " ").alias("objects"))
-    return E.manifest(spark, folder).select(F.col("file_id").alias("doc"), "batch", "status", "reason").join(held, "doc", "left")
+    return E.manifest(spark, folder).select(F.col("file_id").alias("doc"), "batch", "status", "reason").join(unsent(held), "doc", "left")

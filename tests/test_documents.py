@@ -60,3 +60,13 @@ def test_terms_without_a_word(spark):
     terms = spark.createDataFrame([("$$",), ("(-)",), ("5",)], "term string")
     got = {(r.doc, r.term, tuple(r.pages)) for r in V.surviving_pages(pages, terms).collect()}
     assert got == {(1, "$$", (0,)), (1, "5", (0,)), (None, "(-)", (2,))}
+
+
+def test_a_strip_sends_no_table_to_the_driver(spark):
+    objects = spark.createDataFrame([(1, 1, "dict", "Catalog", None, ["Metadata"]), (1, 2, "dict", "Page", None, [])], "doc long, obj long, kind string, type string, subtype string, keys array<string>").checkpoint()
+    edges = spark.createDataFrame([(1, 1, 2, "Pages"), (1, 1, 3, "Metadata")], "doc long, src long, dst long, key string").checkpoint()
+    info = spark.createDataFrame([(1, "t")], "doc long, Title string")
+    kept, left, _ = D.strip_all(objects, edges, info, objects.where("type = 'Catalog'").select("doc", "obj"))
+    for df in (kept, left, D.object_counts(objects)):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [(r.src, r.dst) for r in left.collect()] == [(1, 2)]
