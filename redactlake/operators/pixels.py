@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactlake.functions import geometry as G
+from redactlake.operators.rounds import unsent
 from redactlake.sources import containers, exif
 from redactlake.sources.containers import Malformed
 
@@ -51,7 +52,8 @@ def coverage(images: DataFrame, outputs: DataFrame, regions: DataFrame) -> DataF
     counts; a page without a picture on either side has none. ink and leaked are of the region that leaks most.
     """
     asked = regions.where("rect_id is not null").groupBy(*PAGE).agg(F.collect_list(F.struct("rect_id", *(F.col(c).cast("double").alias(c) for c in "xywh"))).alias("regions"))  # of one page
-    both = images.select(*PAGE, "width", "height", "rgba").join(outputs.select(*PAGE, F.col("width").alias("out_width"), F.col("height").alias("out_height"), F.col("rgba").alias("out_rgba")), list(PAGE)).join(asked, list(PAGE))
+    made = outputs.select(*PAGE, F.col("width").alias("out_width"), F.col("height").alias("out_height"), F.col("rgba").alias("out_rgba"))
+    both = images.select(*PAGE, "width", "height", "rgba").join(unsent(made), list(PAGE)).join(unsent(asked), list(PAGE))
     kinds = {c: both.schema[c].dataType.simpleString() for c in PAGE}
     rect_kind = regions.schema["rect_id"].dataType.simpleString()
 

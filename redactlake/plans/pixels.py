@@ -22,6 +22,8 @@ def _grey(x, y):
     return (x * 7 + y * 13 + F.col("p_partkey") * 3) % 128 * 2 + 1
 
 
+#: Pages whose pictures, 3 kB a page, one task makes and sorts.
+_IN_A_TASK = 20_000
 _BOXES = ((1, 0.25, 0.25, 0.5, 0.5), (2, 0.0, 0.0, 1.0, 1.0), (3, 0.3, 0.3, 0.01, 0.01))
 
 
@@ -36,6 +38,8 @@ _BOXES = ((1, 0.25, 0.25, 0.5, 0.5), (2, 0.0, 0.0, 1.0, 1.0), (3, 0.3, 0.3, 0.01
 def coverage(spark, sf_dir):
     """Dark pixels of a page that show through a black box, by region; one page in four is covered whole."""
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("doc"), F.lit(1).alias("page"), F.lit(24).alias("width"), F.lit(16).alias("height"))
+    # the table is small, what it is made into isn't; pictures are made where they meet
+    parts = parts.repartition(max(4 * spark.sparkContext.defaultParallelism, parts.count() // _IN_A_TASK), "doc")
     covered = lambda x, y: F.when(x.between(6, 17) & y.between(F.lit(4), 11 - F.col("p_partkey") % 4), 0).otherwise(_grey(x, y))
     images, outputs = (parts.withColumn("rgba", _rgba(F.lit(24), F.lit(16), g)) for g in (_grey, covered))
     boxes = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(b, ("rect_id", *"xywh"), strict=True))) for b in _BOXES))

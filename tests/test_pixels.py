@@ -89,3 +89,10 @@ def test_nothing_is_scaled_up_and_null_pictures_stay(spark):
     rows = spark.createDataFrame([(1, 2, 3, bytearray(range(24)), 6), (2, None, None, None, None), (3, 40, 1, bytearray(160), None)], "k int, width int, height int, rgba binary, orientation int")
     got = {r.k: (r.width, r.height, r.rgba and len(r.rgba)) for r in X.oriented(rows, most=10).collect()}
     assert got == {1: (3, 2, 24), 2: (None, None, None), 3: (10, 1, 40)}
+
+
+def test_pictures_are_made_by_many_tasks_and_stay_there(spark, data):
+    from redactlake.plans import catalog
+
+    plan = catalog.QUERIES["q_coverage"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 3 and plan.count("Exchange") == 4  # keys of pages, and then what was found
