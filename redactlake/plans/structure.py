@@ -237,6 +237,6 @@ def export(spark, sf_dir):
     plan = files.where("file_id % 10 = 3").select(F.col("file_id").alias("doc"), F.lit(1).alias("page"), F.lit("raster").alias("route"), F.lit(None).cast("string").alias("error"))
     for batch in (0, 1, 0):
         E.publish(files.where(F.col("file_id") % 2 == batch), folder, batch, plan)
-    rows = pdf.pdf_objects(spark, E.published(spark, folder))
+    rows = pdf.pdf_objects(spark, E.published(spark, folder).repartition(spark.sparkContext.defaultParallelism))
     held = rows.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_list(F.shiftright("obj", 16))).cast("array<string>"), " ").alias("objects"))
     return E.manifest(spark, folder).select(F.col("file_id").alias("doc"), "batch", "status", "reason").join(unsent(held), "doc", "left")

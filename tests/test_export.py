@@ -37,3 +37,19 @@ def test_redactions_that_need_pages_rendered_are_refused(spark, tmp_path):
     E.publish(files, f"file://{tmp_path}/out", 0, plan)
     got = {r.file_id: r.reason for r in E.manifest(spark, f"file://{tmp_path}/out").collect()}
     assert got == {1: "1 pages to render", 2: "301 pages to rasterise, limit 300", 3: None}
+
+
+def test_cleaned_files_are_read_again_once(spark, tmp_path, monkeypatch):
+    seen, read = spark.sparkContext.accumulator(0), pdf.pdf_objects
+
+    def counted(session, files):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return read(session, files.mapInArrow(run, files.schema))
+
+    monkeypatch.setattr(pdf, "pdf_objects", counted)
+    E.publish(spark.createDataFrame([(i, bytearray(EVERYTHING)) for i in range(5)], "file_id long, content binary"), f"file://{tmp_path}/out", 0)
+    assert seen.value == 5
