@@ -346,6 +346,46 @@ def test_classes_equal_those_of_all_pairs(spark):
     assert {(d, r.class_id) for r in found for d in (r.a, r.b)} == {(d, find(d)) for d in linked}
 
 
+def test_every_short_passage_with_an_edit_is_found(spark):
+    """Passages of 51 to 58 words with a word changed, so that few windows of theirs are equal for long."""
+    words, rng = words_of(41), np.random.default_rng(42)
+    rows = []
+    for k in range(400):
+        passage = words(51 + k % 8)
+        edited = passage.copy()
+        edited[int(rng.integers(10, 41))] = words(1)[0]
+        rows += [(2 * k + d, " ".join([*words(int(rng.integers(0, 40))), *p, *words(int(rng.integers(0, 40)))])) for d, p in enumerate((passage, edited))]
+    texts = {d: np.array([hash(w) & (1 << 63) - 1 for w in t.split()], np.uint64) for d, t in rows}
+    want = {(2 * k, 2 * k + 1) for k in range(400) if passages.common_passages(texts[2 * k], texts[2 * k + 1])}
+    found = passages.repeated_passages(docs_of(spark, rows)).collect()
+    assert len(want) == 400 and {(r.a, r.b, r.class_id) for r in found} == {(a, b, a) for a, b in want}
+
+
+def test_passages_that_go_on_behind_an_edit_beside_a_common_line_are_found(spark):
+    """A line of 30 words in all texts, before or behind a changed word and 25 words that two of them share; or 20 of it, between words added; junk texts beside."""
+    words = words_of(51)
+    line, rows = words(30), []
+    for k in range(240):
+        more = words(68)
+        for d in range(2):
+            parts = ([line, words(1 + d), more[:25]], [more[:25], words(1 + d), line], [more[:34], words(d), line[:20], words(d), more[34:]])[k % 3]
+            rows.append((2 * k + d, " ".join([*words(20 + k % 5), *(w for part in parts for w in part), *words(10)])))
+    rows += [(1000 + k, " ".join([*words(1) * (20 + k % 7), *["junk"] * (24 + k % 20), *words(1) * 30])) for k in range(60)]
+    found = passages.repeated_passages(docs_of(spark, rows)).collect()
+    texts = {d: passages.Shingled(np.array([hash(w) & (1 << 63) - 1 for w in t.split()], np.uint64)) for d, t in rows}
+    want = {(a, b) for a in texts for b in texts if a < b and passages.common_passages(texts[a], texts[b])}
+    assert want == {(2 * k, 2 * k + 1) for k in range(240)} and {(r.a, r.b) for r in found} == want
+
+
+def test_passages_query_has_one_row_a_document(spark, tmp_path):
+    words = words_of(61)
+    text, other = words(60), words(70)
+    rows = [(1, " ".join(other)), (2, None), (5, " ".join([*text, "a"])), (4, " ".join(["b", *text])), (9, " ".join(text[:55])), (9, "x"), (None, " ".join(text))]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, catalog.QUERIES["op4_passages"](spark, str(tmp_path)).collect()))
+    assert got == [(1, 1, None, None), (2, 2, None, None), (4, 4, 1, 61), (5, 4, 0, 60), (9, 4, 0, 55)]
+
+
 def test_words_hashed_in_bulk_equal_words_hashed_one_by_one(monkeypatch):
     rng = np.random.default_rng(7)
     letters = list("abAB\x00\xa0\u0120é")
