@@ -377,6 +377,28 @@ def test_passages_that_go_on_behind_an_edit_beside_a_common_line_are_found(spark
     assert want == {(2 * k, 2 * k + 1) for k in range(240)} and {(r.a, r.b) for r in found} == want
 
 
+def _spoiled(n: int, edits: int) -> list[tuple[int, str]]:
+    """Texts of one line of 200 words, with words of their own in some places; the first tenth of texts has a fifth of the edits."""
+    rng, line = np.random.default_rng(29), [f"line{i}" for i in range(200)]
+    rows = []
+    for d in range(n):
+        words = line.copy()
+        for i in rng.choice(200, edits if d >= n // 10 else edits // 5, replace=False).tolist():
+            words[i] = f"own{d}x{i}"
+        rows.append((d, " ".join(words)))
+    return rows
+
+
+def test_near_copies_without_a_common_passage_are_not_paired(spark):
+    """Edits every dozen of words: windows are shared by many, and few of their pairs have a passage."""
+    rows = _spoiled(120, 16)
+    texts = [passages.Shingled(np.array([hash(w) & (1 << 63) - 1 for w in t.split()], np.uint64)) for _, t in rows]
+    want = {(a, b) for a in range(120) for b in range(a + 1, 120) if passages.common_passages(texts[a], texts[b])}
+    got = {(r.a, r.b) for r in passages.candidate_pairs(docs_of(spark, rows), "doc_id", "text", every=True).collect()}
+    assert want and want <= got
+    assert len(got) <= 3 * len(want)
+
+
 def test_passages_query_has_one_row_a_document(spark, tmp_path):
     words = words_of(61)
     text, other = words(60), words(70)
