@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -399,6 +400,35 @@ def test_near_copies_without_a_common_passage_are_not_paired(spark):
     assert len(got) <= 3 * len(want)
 
 
+def test_texts_that_repeat_words_meet_by_few_of_their_rows(monkeypatch):
+    """Rows of two texts are held against each other once if they meet, and the pairs are those of all rows."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for d in range(12):
+        line = ["line"] * 30 if d % 2 else ["line"] * 25 + [f"w{d // 4}"] + ["line"] * 25
+        rows.append((d, " ".join(x for _ in range(3) for x in [*line, *(f"v{rng.integers(6)}" for _ in range(3))]).encode()))
+    batch = pa.record_batch([pa.array([d for d, _ in rows]), pa.array([t for _, t in rows], pa.binary())], ["id", "text"])
+    found = pa.Table.from_batches(list(passages._windows(iter([batch]))))
+    held = found.group_by("id").aggregate([("key", "list"), ("c", "list")]).to_pylist()
+    windows = [[{"key": k, "c": c} for h in held if h["id"] == d for k, c in zip(h["key_list"], h["c_list"], strict=True)] for d, _ in rows]
+    batch = batch.append_column("windows", pa.array(windows, pa.list_(pa.struct([("key", pa.int64()), ("c", pa.int32())]))))
+    table = pa.Table.from_batches(list(passages._contexts(iter([batch])))).sort_by([("key", "ascending"), ("id", "ascending")])
+    members = table.select(["key", "id"]).group_by(["key", "id"]).aggregate([])
+    members = members.append_column("k", members.column("id")).append_column("context", pa.nulls(len(members), pa.binary()))
+    table = table.append_column("k", pa.nulls(len(table), pa.int64())).select(["key", "id", "k", "context"])
+    group = passages.Group(pa.concat_tables([members.select(table.column_names), table]))
+    meet, tested = passages.Group.meet, []
+    monkeypatch.setattr(passages.Group, "meet", lambda self, i, j: tested.append(len(i)) or meet(self, i, j))
+    got = group.ids(group.anchored(True), of_classes=True).to_pydict()
+    few, want = sum(tested), set()
+    for x, y in (np.divmod(codes, len(group.key)) for codes in passages._once(group.anchored(True))):
+        ok = meet(group, x, y) & (group.id[x] != group.id[y])
+        want |= {(min(p), max(p)) for p in zip(group.id[x[ok]].tolist(), group.id[y[ok]].tolist(), strict=True)}
+        every = len(x)
+    assert set(zip(got["a"], got["b"], strict=True)) == want and want
+    assert few < 0.6 * every, (few, every)
+
+
 def test_passages_query_has_one_row_a_document(spark, tmp_path):
     words = words_of(61)
     text, other = words(60), words(70)
