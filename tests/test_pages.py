@@ -1,6 +1,7 @@
 """Page trees, page sizes and runs of text, from files."""
 
 import random
+import re
 import zlib
 
 import pytest
@@ -270,3 +271,13 @@ def test_no_table_that_grows_with_the_pages_is_sent_to_the_driver(spark):
     tree = P.page_tree(nodes, roots, lambda df: rounds.append(broadcasts(df)) or df.checkpoint())
     assert len(rounds) > 1 and not any(rounds)
     assert broadcasts(P.page_runs(tree, operators, fonts)) == 0
+
+
+def test_runs_are_made_without_a_row_for_each_character(spark):
+    """What is shuffled are pages, fonts and the strings that these show, however long a page's texts are."""
+    nodes, roots, fonts, operators = tables(spark, {1: page_with(b"BT /A 10 Tf (abcdefghij) Tj /B 10 Tf <00010002000300010002> Tj [(klm)-250(nop)] TJ ET")})
+    tree = P.page_tree(nodes, roots, lambda df: df.checkpoint())
+    runs = P.page_runs(tree, operators, fonts)
+    assert [r.str for r in runs.orderBy("seq").collect()] == ["abcdefghij", "ABCAB", " "]
+    rows = re.findall(r"Exchange\s+hashpartitioning\(([^)]*)\)", runs._jdf.queryExecution().executedPlan().toString())
+    assert rows and not any(re.search(r"\bcode#|\bseq#|\bat#", x) for x in rows), rows
