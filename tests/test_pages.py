@@ -281,3 +281,19 @@ def test_runs_are_made_without_a_row_for_each_character(spark):
     assert [r.str for r in runs.orderBy("seq").collect()] == ["abcdefghij", "ABCAB", " "]
     rows = re.findall(r"Exchange\s+hashpartitioning\(([^)]*)\)", runs._jdf.queryExecution().executedPlan().toString())
     assert rows and not any(re.search(r"\bcode#|\bseq#|\bat#", x) for x in rows), rows
+
+
+def test_one_reading_gives_the_tree_the_fonts_and_the_operators(spark, monkeypatch):
+    files = {1: built(NESTED), 2: page_with(b"BT /A 10 Tf (a) Tj ET", True), 3: b"hello", 4: b"%PDF-1.4\n1 0 obj<<"}
+    nodes, roots, fonts, operators = tables(spark, files)
+    rows = pdf.pdf_text(spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "file_id long, content binary")).persist()
+    whole = lambda df, *columns: sorted(map(repr, df.select("doc", *columns).collect()))
+    assert whole(rows.where("node is not null"), "obj", "type", "node") == whole(nodes, "obj", "type", "node")
+    assert whole(rows.where("root is not null"), F.col("root").alias("obj")) == whole(roots, "obj")
+    assert whole(rows.where("described is not null"), "obj", F.col("described").alias("font")) == whole(fonts, "obj", "font")
+    columns = ["page", "seq", "op", "nums", "items", "font"]
+    assert whole(rows.where("op is not null"), *columns) == whole(operators.where("op is not null"), *columns)
+    assert sorted(r.doc for r in rows.where("error is not null").collect()) == [3, 4]
+    read, times = pdf.read, []
+    monkeypatch.setattr(pdf, "read", lambda data: times.append(1) or read(data))
+    assert list(pdf.text_rows_of(files[2])) and len(times) == 1
